@@ -42,7 +42,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def parts(df: DataFrame, bytes_each: int = 16 << 20, least: int = 4) -> int:
     """Number of parts of about ``bytes_each`` by the size Spark estimates for the input files."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(least, -(-size // bytes_each))
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -66,7 +67,7 @@ class ForcedBoundaryBPE:
         for t in spec["added_tokens"]:
             self.bytes_of[t["id"]] = t["content"].encode()
         self.cut = self._cuts()
-        self.known: dict[bytes, tuple[str, bytes]] = {}
+        self.known: dict[bytes, tuple[str, bytes, bytes]] = {}
 
     def _cuts(self) -> np.ndarray:
         """cut[256 * a + b]: a text may always be cut between bytes a and b (for a over 0x7F, see split)."""
@@ -103,33 +104,34 @@ class ForcedBoundaryBPE:
             edges = [begin, *own, begin + len(text)]
             yield [joined[i:j] for i, j in zip(edges[:-1], edges[1:])] if text else []
 
-    def _learn(self, fragments: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
-        """Comma-joined ids and decoded bytes of fragments."""
-        out = {}
+    def _learn(self, fragments: list[bytes]) -> dict[bytes, tuple[str, bytes, bytes]]:
+        """Comma-joined ids, decoded bytes and packed 32-bit ids of fragments."""
         texts = [f.decode("utf-8", "replace") for f in fragments]
+        table, out = self.bytes_of, {}
         for f, e in zip(fragments, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
             ids = e.ids
-            out[f] = (",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]))
+            out[f] = (",".join(map(str, ids)), b"".join([table[i] for i in ids]), array("I", ids).tobytes())
         return out
 
-    def pieces(self, texts: list[bytes]) -> Iterator[list[tuple[str, bytes]]]:
-        """For each text its fragments' (comma-joined ids, decoded bytes)."""
-        split = list(self.split(texts))
-        if len(self.known) > CACHE_FRAGMENTS:
-            self.known.clear()
-        new = {f for fragments in split for f in fragments}.difference(self.known)
-        learnt = self._learn(list(new))
-        for f, x in learnt.items():
-            if len(f) <= CACHE_BYTES:
-                self.known[f] = x
+    def pieces(self, texts: list[bytes]) -> Iterator[list[tuple[str, bytes, bytes]]]:
+        """For each text its fragments' (comma-joined ids, decoded bytes, packed 32-bit ids)."""
         known = self.known
-        for fragments in split:
-            yield [known.get(f) or learnt[f] for f in fragments]
+        if len(known) > CACHE_FRAGMENTS:
+            known.clear()
+        split = list(self.split(texts))
+        found = [list(map(known.get, fragments)) for fragments in split]
+        gaps = [[k for k, x in enumerate(got) if x is None] for got in found]
+        learnt = self._learn(list({fragments[k] for fragments, gap in zip(split, gaps) for k in gap}))
+        known.update((f, x) for f, x in learnt.items() if len(f) <= CACHE_BYTES)
+        for fragments, got, gap in zip(split, found, gaps):
+            for k in gap:
+                got[k] = learnt[fragments[k]]
+            yield got
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         for parts in self.pieces(texts):
-            yield np.fromstring(",".join([p[0] for p in parts]), np.uint32, sep=",") if parts else np.zeros(0, np.uint32)
+            yield np.frombuffer(b"".join([p[2] for p in parts]), np.uint32)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special tokens included."""
