@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import _store, bpe, token_files
+from ravelin.llm import _store, bpe, decontamination, quality_rules, secrets, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = _store.shared_dir(spark) + "/tokens"
     return token_files.read(spark, folder, token_files.tokens_to_files(docs, folder, bpe.default_vocabulary(), _store.parts(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op5_secrets, op6_quality_rules, op9_token_files, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
