@@ -97,7 +97,7 @@ def _secret(span: Column) -> Column:
 
 def ownership(candidates: DataFrame) -> DataFrame:
     """hash, owners, repositories and live of candidates (hash, owner, nobody, repository)."""
-    by_owner = candidates.groupBy("hash", "owner", "nobody", "repository").agg().groupBy("hash", "owner", "nobody").agg(F.count("*").alias("n"))
+    by_owner = candidates.select("hash", "owner", "nobody", "repository").distinct().groupBy("hash", "owner", "nobody").agg(F.count("*").alias("n"))
     counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
     return counts.withColumn("live", (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES))
 
