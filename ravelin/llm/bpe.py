@@ -20,8 +20,9 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from ravelin.llm._store import text_steps
 
 #: Distinct fragments a worker remembers, and the longest of them in bytes; beyond that they are encoded again.
-CACHE_FRAGMENTS, CACHE_BYTES = 500_000, 48
+CACHE_FRAGMENTS, CACHE_BYTES = 400_000, 48
 
 
 def default_vocabulary() -> str:
@@ -68,7 +69,9 @@ class ForcedBoundaryBPE:
         for t in spec["added_tokens"]:
             self.bytes_of[t["id"]] = t["content"].encode()
         self.cut = self._cuts()
-        self.known: dict[bytes, tuple[str, bytes, bytes]] = {}
+        self.kind = "H" if size <= 1 << 16 else "I"
+        self.known_forms: dict[bytes, tuple[str, bytes]] = {}
+        self.known_ids: dict[bytes, bytes] = {}
 
     def _cuts(self) -> np.ndarray:
         """cut[256 * a + b]: a text may always be cut between bytes a and b (for a over 0x7F, see split)."""
@@ -105,34 +108,36 @@ class ForcedBoundaryBPE:
             edges = [begin, *own, begin + len(text)]
             yield [joined[i:j] for i, j in zip(edges[:-1], edges[1:])] if text else []
 
-    def _learn(self, fragments: list[bytes]) -> dict[bytes, tuple[str, bytes, bytes]]:
-        """Comma-joined ids, decoded bytes and packed 32-bit ids of fragments."""
-        texts = [f.decode("utf-8", "replace") for f in fragments]
-        table, out = self.bytes_of, {}
-        for f, e in zip(fragments, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = e.ids
-            out[f] = (",".join(map(str, ids)), b"".join([table[i] for i in ids]), array("I", ids).tobytes())
-        return out
-
-    def pieces(self, texts: list[bytes]) -> Iterator[list[tuple[str, bytes, bytes]]]:
-        """For each text its fragments' (comma-joined ids, decoded bytes, packed 32-bit ids)."""
-        known = self.known
+    def _forms(self, ids: list[int]) -> tuple[str, bytes]:
+        """Comma-joined ids and the bytes they decode to."""
+        table = self.bytes_of
+        return ",".join(map(str, ids)), b"".join([table[i] for i in ids])
+
+    def _over(self, texts: list[bytes], known: dict, make: Callable) -> Iterator[list]:
+        """make(ids) of each fragment of each text; ``known`` holds what was made before."""
         if len(known) > CACHE_FRAGMENTS:
             known.clear()
         split = list(self.split(texts))
         found = [list(map(known.get, fragments)) for fragments in split]
         gaps = [[k for k, x in enumerate(got) if x is None] for got in found]
-        learnt = self._learn(list({fragments[k] for fragments, gap in zip(split, gaps) for k in gap}))
+        new = list({fragments[k] for fragments, gap in zip(split, gaps) for k in gap})
+        encoded = self.whole.encode_batch_fast([f.decode("utf-8", "replace") for f in new], add_special_tokens=False)
+        learnt = {f: make(e.ids) for f, e in zip(new, encoded)}
         known.update((f, x) for f, x in learnt.items() if len(f) <= CACHE_BYTES)
         for fragments, got, gap in zip(split, found, gaps):
             for k in gap:
                 got[k] = learnt[fragments[k]]
             yield got
 
+    def pieces(self, texts: list[bytes]) -> Iterator[list[tuple[str, bytes]]]:
+        """For each text its fragments' (comma-joined ids, decoded bytes)."""
+        return self._over(texts, self.known_forms, self._forms)
+
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Ids of each text as unsigned 32-bit integers."""
-        for parts in self.pieces(texts):
-            yield np.frombuffer(b"".join([p[2] for p in parts]), np.uint32)
+        """Ids of each text in the vocabulary's unsigned type."""
+        kind = self.kind
+        for parts in self._over(texts, self.known_ids, lambda ids: array(kind, ids).tobytes()):
+            yield np.frombuffer(b"".join(parts), kind)
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special tokens included."""
@@ -142,7 +147,11 @@ class ForcedBoundaryBPE:
 
 @cache
 def tokenizer(path: str) -> ForcedBoundaryBPE:
-    """One per worker process. The many small results it keeps hold no cycles, so garbage collection is made rare."""
+    """One per worker process. The many small results it keeps hold no cycles, so garbage collection is made rare.
+
+    Spark already runs a worker for each core, so the library must not start threads of its own.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     gc.set_threshold(1_000_000)
     return ForcedBoundaryBPE(path)
 
@@ -182,11 +191,13 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         kind = id_type(len(bpe.bytes_of))
+        width = np.dtype(kind).itemsize
         for batch in batches:
             for i, j, texts in text_steps(batch):
-                ids = [np.append(x, end_id) if end_id is not None else x for x in bpe.encode(texts)]
+                tail = np.array([] if end_id is None else [end_id], kind).tobytes()
+                ids = [x.astype(kind, copy=False).tobytes() + tail for x in bpe.encode(texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
+                    [batch.column(0).slice(i, j - i), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "n_tokens", "ids"],
                 )
 
