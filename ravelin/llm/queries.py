@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import _store, bpe, decontamination, quality_rules, secrets, token_files
+from ravelin.llm import _store, bpe, decontamination, near_duplicates, quality_rules, secrets, substring_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 35)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -33,5 +41,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, token_files.tokens_to_files(docs, folder, bpe.default_vocabulary(), _store.parts(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_secrets, op6_quality_rules, op9_token_files, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op5_secrets, op6_quality_rules, op7_substring_dedup, op9_token_files, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
