@@ -4,9 +4,10 @@
    the set, a MinHash signature and the keys of its bands. Texts with the same set are one class,
    held by its smallest doc_id; only such representatives go on.
 2. Representatives that share a band key are candidates. A bucket gives one star first: its
-   smallest member with each other. Only members that are still in different components after
-   that are paired with each other, so a large group of copies costs its size and not its square,
-   and no pair is dropped.
+   smallest member with each other. Members that are still in different components after that
+   form clusters by the buckets they share; a cluster is cut into blocks of bounded size, and two
+   blocks are compared in one task by the same steps. Pairs never become rows there, only links
+   do, and no pair is dropped.
 3. A candidate's signatures are compared batch by batch. After n hashes with m agreements the
    similarity has a Beta(m + 1, n - m + 1) posterior under a flat prior; the pair is pruned once
    P(similarity >= threshold) falls below the miss probability.
@@ -28,7 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm import _words as W
@@ -39,6 +40,8 @@ from ravelin.llm._store import remove, saved, shared_dir, text_steps
 MISS, PRUNE = 1e-8, 1e-8
 #: Hashes compared at a time.
 STEP = 32
+#: Most shingles and most rows of a block of one cluster; two blocks are compared in a task.
+SHINGLES_A_BLOCK, ROWS_A_BLOCK = 2_000_000, 1024
 #: Most document ids that are sent to all executors to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -151,9 +154,8 @@ def _likely(pairs: DataFrame, sigs: DataFrame, percent: int, hashes: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. ``pairs`` is a written table."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents named in a table of distinct ids."""
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("id"), "left_semi")
 
@@ -164,7 +166,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
     # rows that share a doc_id are one node: a link of any of their sets links it
-    sets = texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(make, "doc_id long, shingles binary")
+    return texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(make, "doc_id long, shingles binary")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """The pairs whose full sets are similar enough. ``pairs`` is a written table."""
+    sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), k)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,6 +189,58 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct()
 
 
+def _blocked(contested: DataFrame) -> DataFrame:
+    """Cut each cluster into blocks of bounded weight and give every row to each pair of blocks it is in: i, j and block."""
+    by = Window.partitionBy("cluster").orderBy("doc_id")
+    weight = F.sum(F.col("n_shingles") + SHINGLES_A_BLOCK / ROWS_A_BLOCK).over(by)
+    rows = contested.withColumn("block", F.floor(weight / SHINGLES_A_BLOCK).cast("int"))
+    last = rows.groupBy("cluster").agg(F.max("block").alias("last"))
+    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    return rows.join(last, "cluster").select("cluster", "doc_id", "c", "bands", "sig", "block", other).select(
+        "cluster", "doc_id", "c", "bands", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+
+
+def _links_between(rows: DataFrame, docs: DataFrame, percent: int, k: int, hashes: int) -> DataFrame:
+    """Links (a, b) of rows that share a band but no component, found block against block: pairs stay inside a task and only links leave it."""
+    tests = least_agreements(percent, hashes)
+    sets = _sets(docs, rows.select(F.col("doc_id").alias("id")).distinct(), k)
+
+    def numbers(t: pa.Table, name: str, dtype) -> np.ndarray:
+        return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype).reshape(t.num_rows, -1)
+
+    def compare(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        block = t.column("block").to_numpy()
+        doc, comp = t.column("doc_id").to_numpy(), t.column("c").to_numpy()
+        sig = numbers(t, "sig", np.uint32)
+        keys = np.array(t.column("bands").to_pylist(), np.int64)
+        held = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in held])
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [], []
+        for x in left:
+            y = right[right > x] if i == j else right
+            y = y[comp[y] != comp[x]]
+            y = y[(keys[y] == keys[x]).any(axis=1)]
+            agree, done = np.zeros(len(y), np.int64), 0
+            for n, least in tests:
+                agree += (sig[y, done:n] == sig[x, done:n]).sum(axis=1)
+                y, agree = y[agree >= least], agree[agree >= least]
+                done = n
+            if not len(y):
+                continue
+            flat = np.concatenate([held[z] for z in y])
+            at = np.minimum(np.searchsorted(held[x], flat), size[x] - 1)
+            same = np.add.reduceat((held[x][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[y])[:-1]]))
+            y = y[100 * same >= percent * (size[x] + size[y] - same)]
+            a += [int(doc[x])] * len(y)
+            b += doc[y].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.join(sets, "doc_id").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and kept (it is that one)."""
     spark = docs.sparkSession
@@ -205,17 +264,15 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
 
     # what the stars left apart though it shares a bucket
     named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    apart = saved(named.join(mixed, "key", "left_semi"), folder, "apart")
-    x, y = apart.select("key", F.col("doc_id").alias("x"), F.col("c").alias("cx")), apart.select("key", F.col("doc_id").alias("y"), F.col("c").alias("cy"))
-    cross = x.join(y, (x["key"] == y["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    cross = saved(cross.join(star, ["a", "b"], "left_anti"), folder, "cross")
-    likely = saved(_likely(cross, sigs, percent, hashes), folder, "cross-likely")
-    more = saved(_linked(likely, docs, percent, k), folder, "cross-links")
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("doc_id").alias("a")).where("low < high").select("key", "a")
+    apart = saved(named.join(mixed, "key").select("a", "doc_id", "c").distinct(), folder, "apart")
+    clusters = components(apart.select("a", F.col("doc_id").alias("b")), folder, "cluster").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    contested = apart.select("doc_id", "c").distinct().join(clusters, "doc_id").join(reps.select("doc_id", "n_shingles", "bands", "sig"), "doc_id")
+    more = saved(_links_between(saved(_blocked(contested), folder, "contested"), docs, percent, k, hashes), folder, "block-links")
 
     # rows of a class that aren't its representative hang below it
     last = components(links.union(more), folder, "last")
-    for x in ("members", "star", "star-likely", "apart", "cross", "cross-likely", "star-links", "cross-links"):
+    for x in ("members", "star", "star-likely", "apart", "contested", "star-links", "block-links"):
         remove(spark, f"{folder}/{x}")
     own = classes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("class_component"))
     out = profiles.select("doc_id", "n_shingles", "digest").join(own, ["digest", "n_shingles"], "left")
