@@ -96,20 +96,30 @@ def _sha(text: bytes) -> str:
     return hashlib.sha256(b" ".join(text.split())).hexdigest()
 
 
-def _ranges(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Union of [p, p + length) for ascending places: starts and ends."""
-    if not len(at):
-        return at, at
-    new = np.flatnonzero(np.diff(at) > length) + 1
-    return at[np.concatenate([[0], new])], at[np.concatenate([new - 1, [len(at) - 1]])] + length
+def _joined_ranges(rows: DataFrame, before: int, length: int) -> DataFrame:
+    """doc_id, tag, starts, ends: the union of [p - before, p - before + length + run - 1) over the lists ``places`` and ``runs``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends = [], []
+            for places, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                order = np.argsort(p := np.array(places, np.int64), kind="stable")
+                s, e = np.maximum(p[order] - before, 0), np.maximum.accumulate((p + np.array(runs, np.int64))[order] + (length - before - 1))
+                new = np.flatnonzero(s[1:] > e[:-1]) + 1
+                starts.append(s[np.concatenate([[0], new])])
+                ends.append(e[np.concatenate([new - 1, [len(e) - 1]])])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, kind), pa.array(ends, kind)], names=["doc_id", "tag", "starts", "ends"])
+
+    return rows.select("doc_id", "tag", "places", "runs").mapInArrow(run, f"{ROW}, starts array<int>, ends array<int>")
 
-def _regions(texts: DataFrame, n: int, k: int) -> DataFrame:
+
+def _regions(texts: DataFrame) -> DataFrame:
     """Word hashes of the parts of each text that lie within reach of a repeated sieve hash: doc_id, tag, at, words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(2).to_pylist()
+            marks = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
             for i, j, part in text_steps(batch):
                 words = W.split(part)
                 h = W.hashes(words)
@@ -117,19 +127,17 @@ def _regions(texts: DataFrame, n: int, k: int) -> DataFrame:
                 ids, tags, ats, out = [], [], [], []
                 for d in range(j - i):
                     first, last = int(words.first[d]), int(words.first[d + 1])
-                    if int(tag[d]) != batch.column(3)[i + d].as_py():
+                    if int(tag[d]) != batch.column(4)[i + d].as_py():
                         continue
-                    # a window that holds the k words at p starts in [p - (n - k), p]
-                    p = np.unique(np.array(marks[i + d], np.int64))
-                    starts, ends = _ranges(np.maximum(p - (n - k), 0), 2 * n - k)
-                    for s, e in zip(starts.tolist(), np.minimum(ends, last - first).tolist()):
+                    for s, e in zip(*marks[i + d]):
+                        e = min(e, last - first)
                         ids.append(batch.column(0)[i + d].as_py())
                         tags.append(int(tag[d]))
                         ats.append(s)
                         out.append(h[first + s : first + e].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(ats, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "tag", "at", "words"])
 
-    return texts.select("doc_id", F.col("text").cast("binary").alias("text"), "marks", "tag").mapInArrow(run, f"{ROW}, at int, words binary")
+    return texts.select("doc_id", F.col("text").cast("binary").alias("text"), "starts", "ends", "tag").mapInArrow(run, f"{ROW}, at int, words binary")
 
 
 def _probes(regions: DataFrame, k: int) -> DataFrame:
@@ -202,12 +210,12 @@ def _windows(regions: DataFrame, n: int, k: int) -> DataFrame:
     return regions.mapInArrow(run, f"high long, low long, {ROW}, place int, run int")
 
 
-def _kept(texts: DataFrame, n: int) -> DataFrame:
-    """doc_id, tag, n_removed, kept_sha256 of texts with the places (and runs) of their repeated windows."""
+def _kept(texts: DataFrame) -> DataFrame:
+    """doc_id, tag, n_removed, kept_sha256 of texts without the words of their ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, runs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            starts, ends = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, j, part in text_steps(batch):
                 words = W.split(part)
                 tag = _tags(words, W.hashes(words))[1]
@@ -216,18 +224,16 @@ def _kept(texts: DataFrame, n: int) -> DataFrame:
                     if int(tag[d]) != batch.column(4)[i + d].as_py():
                         continue
                     own = text.split()
-                    mark = np.zeros(len(own) + 1, np.int64)
-                    p, r = np.array(places[i + d], np.int64), np.array(runs[i + d], np.int64)
-                    np.add.at(mark, p, 1)
-                    np.add.at(mark, p + r - 1 + n, -1)
-                    gone = np.cumsum(mark)[:-1] > 0
+                    count = len(own)
+                    for s, e in zip(reversed(starts[i + d]), reversed(ends[i + d])):
+                        del own[s:e]
                     take.append(i + d)
-                    removed.append(int(gone.sum()))
-                    shas.append(hashlib.sha256(b" ".join([w for w, g in zip(own, gone.tolist()) if not g])).hexdigest())
+                    removed.append(count - len(own))
+                    shas.append(hashlib.sha256(b" ".join(own)).hexdigest())
                 take = pa.array(take, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(4).take(take), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["doc_id", "tag", "n_removed", "kept_sha256"])
 
-    return texts.select("doc_id", F.col("text").cast("binary").alias("text"), "places", "runs", "tag").mapInArrow(run, f"{ROW}, n_removed long, kept_sha256 string")
+    return texts.select("doc_id", F.col("text").cast("binary").alias("text"), "starts", "ends", "tag").mapInArrow(run, f"{ROW}, n_removed long, kept_sha256 string")
 
 
 def _beside(docs: DataFrame, rows: DataFrame, payload: int) -> DataFrame:
@@ -259,11 +265,12 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     # dealt out once, for the count and for what it is joined to
     first = first.repartition("hash")
     twice = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    marked = first.join(twice, "hash", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list("place").alias("marks"))
-    marked = saved(marked, folder, "marked")
-    payload = marked.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
+    marked = first.join(twice, "hash", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
+    # a window that holds the k words at p starts in [p - (n - k), p]
+    marked = saved(_joined_ranges(marked.withColumn("runs", F.transform("places", lambda p: F.lit(1))), n - k, 2 * n - k), folder, "marked")
+    payload = marked.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
 
-    regions = saved(_regions(_beside(docs, marked, payload), n, k), folder, "regions")
+    regions = saved(_regions(_beside(docs, marked, payload)), folder, "regions")
     counts = _probes(regions, k).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     hit = _blocks(regions, k).join(counts, "hash", "left_semi").groupBy("doc_id", "tag", "at").agg(F.collect_list("block").alias("found"))
     same = regions["doc_id"].eqNullSafe(F.col("h_doc")) & (regions["tag"] == F.col("h_tag")) & (regions["at"] == F.col("h_at"))
@@ -271,12 +278,12 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     windows = _windows(held, n, k).repartition("high", "low")
     again = windows.groupBy("high", "low").agg(F.sum("run").alias("n")).where("n > 1").select("high", "low")
     repeats = windows.join(again, ["high", "low"], "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "run")).alias("p"))
-    repeats = saved(repeats.select("doc_id", "tag", F.col("p.place").alias("places"), F.col("p.run").alias("runs")), folder, "repeats")
+    repeats = saved(_joined_ranges(repeats.select("doc_id", "tag", F.col("p.place").alias("places"), F.col("p.run").alias("runs")), 0, n), folder, "repeats")
     for x in ("regions", "marked"):
         remove(spark, f"{folder}/{x}")
-    payload = repeats.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    payload = repeats.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
 
-    partly = _kept(_beside(docs, repeats, payload), n).distinct().withColumnsRenamed({"doc_id": "of", "tag": "of_tag"})
+    partly = _kept(_beside(docs, repeats, payload)).distinct().withColumnsRenamed({"doc_id": "of", "tag": "of_tag"})
     out = facts.join(classes.where("copies > 1").select("digest", "copies"), "digest", "left")
     out = out.join(partly, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
     copied = F.col("copies").isNotNull()
