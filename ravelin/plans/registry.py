@@ -1,11 +1,508 @@
-"""Queries and their DuckDB equivalents, by name."""
+"""Queries over the driver's tables and their DuckDB equivalents, by name."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ravelin.functions import text as T
+from ravelin.operators import chunking, evaluation, memory, rag, relational, retrieval, transit
+from ravelin.operators.tools import Registry
+from ravelin.sources import readers, sinks
+from ravelin.streaming import events as E
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+
+QUERY = ["the", "ofthe", "license", "and", "tion"]
+MODELS = ["gpt_4o_mini", "google_gemma_3_4b_it_fr", "deepseek_deepseek_chat_", "qwen_qwen3_4b_free", "kakaocorp.kanana_nano_2.1b", "exaone_3.5_2.4b_instruc", "hyperclovax_seed_text_1.5b"]
+#: Model, parameters in billions, faithfulness, factual correctness.
+SCORES = [
+    ("gpt_4o_mini", 8.0, 0.6388, 0.4881),
+    ("google_gemma_3_4b_it_fr", 4.0, 0.5984, 0.4223),
+    ("deepseek_deepseek_chat_", 685.0, 0.5682, 0.4400),
+    ("qwen_qwen3_4b_free", 4.0, 0.5090, 0.4147),
+    ("kakaocorp.kanana_nano_2.1b", 2.1, 0.4089, 0.3714),
+    ("exaone_3.5_2.4b_instruc", 2.4, 0.4023, 0.3710),
+    ("hyperclovax_seed_text_1.5b", 1.5, 0.3661, 0.3020),
+]
+SIGNATURES = ["qwen/qwen3-4b:free", "google/gemma-3-4b-it:free", "deepseek/deepseek-chat-v3-0324:free", "hyperclovax-seed-text-instruct-1.5b-hf-i1", "kakaocorp.kanana-nano-2.1b-instruct", "exaone-3.5-2.4b-instruct", "gpt-4o-mini"]
+_SCORES_SQL = "(values " + ", ".join(f"('{m}', {p}, {a}, {b})" for m, p, a, b in SCORES) + ") s(model, params, faithfulness, factual)"
+_TOKENS = r"list_filter(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def tokens_sql(c: str) -> str:
+    return _TOKENS.format(c)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+# text and chunks
+
+
+@query(r"""select doc_id, md5(replace(trim(regexp_replace(replace(text, chr(160), ' '), '\s+', ' ', 'g')), '>', '')) as cleaned from documents""")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
+
+
+_CHUNKS = """select doc_id, cast(i as int) as chunk_no, substring(text, i * 384 + 1, 512) as text, cast(length(substring(text, i * 384 + 1, 512)) as int) as n_chars
+    from (select doc_id, text, unnest(range(0, greatest(cast(ceil((length(text) - 128) / 384.0) as bigint), 1))) as i from documents where text is not null)"""
+
+
+@query(f"select doc_id, chunk_no, md5(text) as digest, n_chars from ({_CHUNKS})")
+def chunk_sliding(spark, sf_dir):
+    return chunking.sliding_chunks(table(spark, sf_dir, "documents")).select("doc_id", "chunk_no", F.md5("text").alias("digest"), "n_chars")
+
+
+@query(f"select count(*) as n_chunks, round(avg(length(text)), 6) as mean_chars, cast(min(length(text)) as int) as min_chars, cast(max(length(text)) as int) as max_chars from ({_CHUNKS})")
+def chunk_stats(spark, sf_dir):
+    return chunking.chunk_stats(chunking.sliding_chunks(table(spark, sf_dir, "documents")))
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    return chunking.recursive_chunks(table(spark, sf_dir, "documents"))
+
+
+@query()
+def token_sized_chunks(spark, sf_dir):
+    return chunking.recursive_chunks(table(spark, sf_dir, "documents"), 800, 100, unit="words")
+
+
+@query()
+def header_sections(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), "text").alias("text"))
+    return chunking.header_sections(docs)
+
+
+_STRIP = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))"""
+
+
+@query(f"select page_id, url, md5({_STRIP}) as digest from pages")
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.md5(T.html_text(F.col("html"))).alias("digest"))
+
+
+@query(f"select page_id from pages where html like '%<article>%' and html not like '%404 Not Found%' and length({_STRIP}) > 0 and url not like '%example.net%'")
+def page_validity(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.where(F.col("html").contains("<article>") & T.contains_none(F.col("html"), ["404 Not Found"]) & (F.char_length(T.html_text(F.col("html"))) > 0) & T.contains_none(F.col("url"), ["example.net"])).select("page_id")
+
+
+@query(r"""select page_id, regexp_extract(url, '[^/]*$') as last_part, regexp_extract(url, '^https?://([^/?#]+)', 1) as host from pages where regexp_extract(url, '^https?://([^/?#]+)', 1) like '%example.com'""")
+def url_parts(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", T.last_segment(F.col("url")).alias("last_part"), F.expr("parse_url(url, 'HOST')").alias("host"))
+    return p.where(F.col("host").like("%example.com"))
+
+
+@query()
+def page_documents(spark, sf_dir):
+    d = readers.pages_as_documents(table(spark, sf_dir, "pages"))
+    return d.select(F.col("metadata")["url"].alias("url"), F.col("metadata")["title"].alias("title"), F.char_length("text").alias("n_chars"))
+
+
+@query()
+def crawl(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    edges = readers.links(p).select("url", F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), "target").alias("target"))
+    start = [r.url for r in p.orderBy("page_id").limit(3).collect()]
+    return readers.crawl(edges, start, depth=2, most=10)
+
+
+@query("select doc_id, md5(list_aggregate(list_filter(string_split(replace(text, chr(9), ' '), chr(10)), lambda x: trim(x) <> ''), 'string_agg', chr(10))) as digest from documents")
+def nonblank_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.nullif(T.nonblank_lines(F.col("text")), F.lit(""))).alias("digest"))
+
+
+@query("select doc_id from documents where contains(text, 'License') or contains(text, 'Redistribution') or contains(text, 'Copyright')")
+def keyword_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(T.contains_any(F.col("text"), ["License", "Redistribution", "Copyright"])).select("doc_id")
+
+
+@query(f"select doc_id, cast(len({tokens_sql('text')}) as int) as n_tokens, cast(len(list_distinct({tokens_sql('text')})) as int) as n_distinct from documents")
+def token_counts(spark, sf_dir):
+    t = T.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query("select * from (values " + ", ".join(f"('{s}')" for s in SIGNATURES) + ") s(model), lateral (select 'result_' || substring(regexp_replace(model, '[^a-zA-Z0-9_.]', '_', 'g') || '.json', 1, 23) || '.json' as name), lateral (select replace(replace(name, 'result_', ''), '.json', '') as key)")
+def result_filename(spark, sf_dir):
+    m = readers.literal(spark, [(s,) for s in SIGNATURES], "model string").withColumn("name", T.result_name(F.col("model")))
+    return m.withColumn("key", T.model_key(F.col("name")))
+
+
+_STEPS = [(1, 'Action: Search\nAction Input: "rain"'), (2, "x Final Answer: a Final Answer: b "), (3, "nothing"), (4, "Action: Add\nAction Input: 3 4")]
+
+
+@query("select * from (values (1, 'Search', 'rain', cast(null as varchar)), (2, null, null, 'b'), (3, null, null, null), (4, 'Add', '3 4', null)) s(id, tool, input, answer)")
+def react_parse(spark, sf_dir):
+    s = readers.literal(spark, _STEPS, "id int, said string")
+    return s.select("id", T.action(F.col("said")).alias("tool"), T.action_input(F.col("said")).alias("input"), T.final_answer(F.col("said")).alias("answer"))
+
+
+@query("select * from (values (1, 'q one', 'a one'), (1, 'q two', 'a two')) s(id, question, answer)")
+def qa_parse(spark, sf_dir):
+    s = readers.literal(spark, [(1, "[Q]: q one\n[A]: a one\n[Q]: q two [A]: a two"), (2, "none")], "id int, said string")
+    return s.select("id", F.explode(T.qa_pairs(F.col("said"))).alias("p")).select("id", "p.question", "p.answer")
+
+
+# retrieval
+
+_BM25 = f"""with t as (select doc_id, {tokens_sql('text')} as t from documents), l as (select doc_id, len(t) as len, t from t),
+    a as (select count(*) as n, avg(len) as avg_len from l),
+    tf as (select doc_id, len, term, count(*) as tf from (select doc_id, len, unnest(t) as term from l) where term in ({", ".join(f"'{q}'" for q in QUERY)}) group by all),
+    df as (select term, count(*) as df from tf group by term)
+    select doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) as score from tf join df using (term), a group by doc_id"""
+
+
+@query(_BM25)
+def bm25_scores(spark, sf_dir):
+    return retrieval.bm25(table(spark, sf_dir, "documents"), QUERY)
+
+
+@query(f"select * from ({_BM25}) order by score desc, doc_id limit 10")
+def bm25_topk(spark, sf_dir):
+    return retrieval.top(bm25_scores(spark, sf_dir), 10)
+
+
+_COS = "round(list_inner_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / sqrt(list_inner_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) / sqrt(list_inner_product(cast(b.embedding as double[]), cast(b.embedding as double[]))), 6)"
+
+
+@query(f"select b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id = 0 order by score desc, b.vec_id limit 10")
+def cosine_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    first = v.where("vec_id = 0").select("embedding").first()
+    return retrieval.top(retrieval.cosine(v, first[0] if first else []), 10, tie="vec_id")
+
+
+_KNN = f"""select query_id, vec_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from
+    (select a.vec_id as query_id, b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id)) where rank <= 4"""
+
+
+@query(_KNN)
+def knn_join(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest(v, v.where("vec_id % 50 = 0"), 4)
+
+
+@query(f"""with near as ({_KNN.replace("rank <= 4", "rank <= 5")}), rel as (select a.vec_id as query_id, b.vec_id from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+    p as (select n.query_id, count(r.vec_id) as hits, min(case when r.vec_id is not null then n.rank end) as first from near n left join rel r using (query_id, vec_id) group by 1), c as (select query_id, count(*) as n from rel group by 1)
+    select query_id, round(hits / 5, 6) as precision, round(coalesce(hits / n, 0.0), 6) as recall, round(coalesce(1 / first, 0.0), 6) as rr from p left join c using (query_id)""")
+def retrieval_metrics(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 50 = 0")
+    near = retrieval.nearest(v, q, 5)
+    label = q.select(F.col("vec_id").alias("query_id"), "label").join(v.select("vec_id", "label"), "label").where("query_id <> vec_id").select("query_id", "vec_id")
+    return evaluation.retrieval_metrics(near, label, 5, "vec_id")
+
+
+@query()
+def mmr_rerank(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    near = retrieval.nearest(v, v.where("vec_id % 50 = 0"), 20).join(v.select("vec_id", "embedding"), "vec_id")
+    return retrieval.mmr(near, 4)
+
+
+@query(f"""with b as (select doc_id, row_number() over (order by score desc, doc_id) as rank from ({_BM25}) order by rank limit 20), n as (select doc_id, row_number() over (order by n_chars desc, doc_id) as rank from documents order by rank limit 20)
+    select doc_id, round(sum(0.5 / (60 + rank)), 8) as score from (select * from b union all select * from n) group by doc_id""")
+def rrf_hybrid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    a = retrieval.ranked(bm25_scores(spark, sf_dir), 20)
+    b = retrieval.ranked(docs.select("doc_id", F.col("n_chars").alias("score")), 20)
+    return retrieval.fuse([(a, 0.5), (b, 0.5)])
+
+
+@query()
+def hyde_offline(spark, sf_dir):
+    vector = rag.hyde_vector(["the license of this", "of and to the", "an answer in the text", "that is the question"])
+    docs = rag.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding")
+    return retrieval.top(retrieval.cosine(docs, vector, "doc_id"), 10)
+
+
+@query(f"select doc_id, round(len(list_intersect({tokens_sql('text')}, [{', '.join(repr(q) for q in QUERY)}])) / 5, 6) as score from documents")
+def overlap_rerank(spark, sf_dir):
+    return rag.overlap_rerank(table(spark, sf_dir, "documents"), QUERY)
+
+
+_TOP_TEXT = f"select string_agg(text, chr(10) || chr(10) order by score desc, doc_id) as context, count(*) as n_chunks from (select b.*, d.text from (select * from ({_BM25}) order by score desc, doc_id limit 4) b join documents d using (doc_id))"
+
+
+@query(f"select md5(context) as digest, n_chunks from ({_TOP_TEXT})")
+def rag_context(spark, sf_dir):
+    """Context of the four best documents for a fixed query."""
+    docs = table(spark, sf_dir, "documents")
+    best = F.broadcast(retrieval.ranked(bm25_scores(spark, sf_dir), 4))
+    rows = docs.join(best, "doc_id").withColumn("all", F.lit(1))
+    n = rows.groupBy("all").agg(F.count("*").alias("n_chunks"))
+    return relational.concatenated(rows, ["all"], "rank", F.col("text")).join(n, "all").select(F.md5("text").alias("digest"), "n_chunks")
+
+
+@query()
+def rag_answer_offline(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.fill("Context: {context}\nQuestion: {question}", context=F.col("text"), question=F.substring("text", 1, 60)).alias("prompt"))
+    return rag.generate(items, "prompt").select("item_id", "answer", "error")
+
+
+@query()
+def faithfulness_offline(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    answered = rag.generate(items.withColumn("prompt", F.concat(F.lit("Context: "), "text", F.lit("\nQuestion: the"))), "prompt")
+    return rag.faithfulness(answered.select("id", "answer", F.col("text").alias("context"))).withColumn("band", evaluation.band(F.col("faithfulness")))
+
+
+@query()
+def testset_quota(spark, sf_dir):
+    return rag.testset_quota(chunking.sliding_chunks(table(spark, sf_dir, "documents")), 200).select("doc_id", "chunk_no", "place", "kind")
+
+
+@query()
+def agent_rounds(spark, sf_dir):
+    tasks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+
+    def decide(prompts):
+        return [f"Final Answer: {p.rpartition('Observation: ')[2]}" if "Observation:" in p else f"Action: Length\nAction Input: {p.splitlines()[0] if p else ''}" for p in prompts]
+
+    return rag.agent_rounds(tasks, decide, {"Length": lambda c: F.char_length(c).cast("string")}).select("id", F.array_join("trace", ";").alias("trace"), "answer")
+
+
+@query("select * from (values (1, 0, 'add', '7'), (1, 1, 'upper', 'AB'), (2, 0, 'nope', 'no such tool')) s(id, place, tool, observation)")
+def tool_dispatch(spark, sf_dir):
+    r = Registry()
+    r.tool("add", "sum of two integers", "a int, b int")(lambda x: x["a"] + x["b"])
+    r.tool("upper", "capitals", "text string")(lambda x: F.upper(x["text"]))
+    steps = readers.literal(spark, [(1, [("add", '{"a": 3, "b": 4}'), ("upper", '{"text": "ab"}')]), (2, [("nope", "{}")])], "id int, actions array<struct<tool: string, input: string>>")
+    return r.run_all(steps)
+
+
+# joins, sets and aggregates
+
+
+@query("select doc_id, lang from documents where doc_id in (select doc_id from labels)")
+def eval_semi_join(spark, sf_dir):
+    return relational.semi(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+
+
+@query("select d.doc_id, m.model from documents d cross join (values ('a'), ('b')) m(model) where m.model <> 'a' or d.doc_id not in (select doc_id from labels)")
+def resume_anti_join(spark, sf_dir):
+    tasks = table(spark, sf_dir, "documents").select("doc_id").crossJoin(F.broadcast(readers.literal(spark, [("a",), ("b",)], "model string")))
+    return relational.remaining(tasks, table(spark, sf_dir, "labels").select("doc_id", F.lit("a").alias("model")), ["doc_id", "model"])
+
+
+@query("select lang, count(*) as missing from documents where doc_id not in (select doc_id from labels) group by lang")
+def membership_errors(spark, sf_dir):
+    return relational.missing_per_group(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "lang")
+
+
+@query("select *, 'left' as side from (select md5(text) as digest from documents except all select distinct md5(text) from documents)")
+def multiset_check(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select(F.md5("text").alias("digest"))
+    return relational.multiset_difference(t, t.distinct())
+
+
+@query("select source, min(case when lang = 'de' then doc_id end) as de, min(case when lang = 'en' then doc_id end) as en, min(case when lang = 'es' then doc_id end) as es, min(case when lang = 'fr' then doc_id end) as fr from documents group by source")
+def model_pivot(spark, sf_dir):
+    return relational.answers_wide(table(spark, sf_dir, "documents"), ["de", "en", "es", "fr"], "source", "lang", "doc_id")
+
+
+@query("select source, l.model, case l.model when 'de' then de when 'en' then en end as answer from (select source, min(case when lang = 'de' then doc_id end) as de, min(case when lang = 'en' then doc_id end) as en from documents group by source), (values ('de'), ('en')) l(model)")
+def model_unpivot(spark, sf_dir):
+    return relational.answers_long(model_pivot(spark, sf_dir).select("source", "de", "en"), ["de", "en"], "source")
+
+
+@query(f"""with b as (select * from {_SCORES_SQL} where model = 'gpt_4o_mini')
+    select s.model, round((s.faithfulness + s.factual) / 2, 6) as combined, round((s.faithfulness - b.faithfulness) / b.faithfulness * 100, 4) as faith_diff, round((s.factual - b.factual) / b.factual * 100, 4) as fact_diff,
+    round(s.faithfulness / s.factual, 6) as ratio, round(s.faithfulness / s.params, 6) as faith_per_b, round(s.factual / s.params, 6) as fact_per_b from (select model, cast(params as double) as params, cast(faithfulness as double) as faithfulness, cast(factual as double) as factual from {_SCORES_SQL}) s,
+    (select cast(faithfulness as double) as faithfulness, cast(factual as double) as factual from b) b""")
+def model_leaderboard(spark, sf_dir):
+    return evaluation.leaderboard(readers.literal(spark, SCORES, "model string, params double, faithfulness double, factual double"), "gpt_4o_mini")
+
+
+@query(f"select round(regr_slope(faithfulness, params), 6) as slope, round(regr_intercept(faithfulness, params), 6) as intercept, round(regr_r2(faithfulness, params), 6) as r2 from (select cast(params as double) as params, cast(faithfulness as double) as faithfulness from {_SCORES_SQL} where not starts_with(model, 'deepseek'))")
+def scaling_regression(spark, sf_dir):
+    s = readers.literal(spark, SCORES, "model string, params double, faithfulness double, factual double")
+    return evaluation.regression(s.where(~F.col("model").startswith("deepseek")), "faithfulness", "params")
+
+
+@query(f"select model, upper(left(split_part(model, '_', 1), 1)) || lower(substring(split_part(model, '_', 1), 2)) || ' (' || params || 'B)' as label from (select model, cast(params as double) as params from {_SCORES_SQL})")
+def display_labels(spark, sf_dir):
+    s = readers.literal(spark, SCORES, "model string, params double, faithfulness double, factual double")
+    return s.select("model", T.display_label(F.col("model"), F.col("params")).alias("label"))
+
+
+@query("select md5(text) as digest, min(doc_id) as first_position from documents group by 1")
+def exact_dedup(spark, sf_dir):
+    return relational.distinct_in_order(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest")), "digest", "doc_id")
+
+
+@query("select doc_id, text_len, lang from (select doc_id, length(text) as text_len, null as lang from documents union all select item_id, length(text), 'bench' from benchmark)")
+def union_by_name(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("text_len"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.char_length("text").cast("long").alias("text_len"), F.lit("bench").alias("lang"))
+    return d.unionByName(b, allowMissingColumns=True)
+
+
+@query("select lang, source, count(*) as n from documents group by all")
+def value_counts(spark, sf_dir):
+    return relational.value_counts(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query("select doc_id, cast(position as bigint) as position, case when position <= floor(n * 0.8) then 'train' else 'test' end as part from (select doc_id, row_number() over (order by doc_id) as position, count(*) over () as n from documents)")
+def positional_split(spark, sf_dir):
+    d = relational.positional_split(table(spark, sf_dir, "documents").select("doc_id"), 0.8, ["doc_id"])
+    return d.select("doc_id", F.col("position").cast("long").alias("position"), "part")
+
+
+@query()
+def content_sample(spark, sf_dir):
+    return relational.sample_by_hash(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50)
+
+
+@query("select conv_id, md5(string_agg(role || ': ' || text, chr(10) order by turn)) as history from conversations group by conv_id")
+def history_concat(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return relational.concatenated(c, ["conv_id"], "turn", F.concat("role", F.lit(": "), "text"), "\n").select("conv_id", F.md5("text").alias("history"))
+
+
+# conversations
+
+
+@query("""select conv_id, turn, role, cast(exchange as bigint) as exchange from (select *, max(exchange) over (partition by conv_id) as last from
+    (select *, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as exchange from conversations)) where exchange > 0 and exchange > last - 2""")
+def memory_last_k(spark, sf_dir):
+    return memory.last_exchanges(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "exchange")
+
+
+@query(f"select conv_id, turn, cast(used as bigint) as used from (select conv_id, turn, sum(len({tokens_sql('text')})) over (partition by conv_id order by turn desc) as used from conversations) where used <= 400")
+def memory_token_budget(spark, sf_dir):
+    return memory.within_budget(table(spark, sf_dir, "conversations"), 400, F.size(T.tokens(F.col("text")))).select("conv_id", "turn", "used")
+
+
+@query("select conv_id, turn, md5('History: ' || coalesce(before, '') || chr(10) || 'Question: ' || text || chr(10) || 'Answer in English.') as prompt from (select *, lag(text) over (partition by conv_id order by turn) as before from conversations) where role = 'user'")
+def prompt_assembly(spark, sf_dir):
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    prompt = T.fill("History: {history}\nQuestion: {question}\nAnswer in {language}.", history=F.col("before"), question=F.col("text"), language=F.lit("English"))
+    return c.where("role = 'user'").select("conv_id", "turn", F.md5(prompt).alias("prompt"))
+
+
+_PAIRS = "select a.conv_id, a.turn, a.text as candidate, b.text as reference from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'"
+
+
+def _pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    a = c.where("role = 'user'").select("conv_id", "turn", (F.col("turn") + 1).alias("next"), F.col("text").alias("candidate"))
+    b = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("next"), F.col("text").alias("reference"))
+    return a.join(b, ["conv_id", "next"])
+
+
+@query(f"""with p as (select conv_id, turn, {tokens_sql('candidate')} as a, {tokens_sql('reference')} as b from ({_PAIRS}))
+    select conv_id, turn, round(case when len(a) = 0 or len(b) = 0 then 0.0 else 2.0 * list_sum([least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))) for t in list_distinct(a)]) / (len(a) + len(b)) end, 6) as f1 from p""")
+def token_f1(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(evaluation.token_f1(T.tokens(F.col("candidate")), T.tokens(F.col("reference"))), 6).alias("f1"))
+
+
+@query()
+def rouge_bleu(spark, sf_dir):
+    return evaluation.text_scores(_pairs(spark, sf_dir).withColumn("id", F.concat_ws("-", "conv_id", "turn")))
+
+
+@query("select case when score >= 0.7 then 'target' when score >= 0.5 then 'baseline' else 'below' end as band, count(*) as n from (select quality * 0.6 + toxic * 0.2 as score from labels) group by 1")
+def threshold_bands(spark, sf_dir):
+    return relational.value_counts(table(spark, sf_dir, "labels").select(evaluation.band(F.col("quality") * 0.6 + F.col("toxic") * 0.2).alias("band")), "band")
+
+
+# timetables and events
+
+_HMS = "strftime(ts, '%H%M%S')"
+
+
+@query(f"select event_id, cast({_HMS} as int) + case when cast({_HMS} as int) >= 43000 then 0 else 240000 end as service_key, substring({_HMS}, 1, 2) || '시 ' || substring({_HMS}, 3, 2) || '분' as label from events")
+def service_day_sort(spark, sf_dir):
+    hms = F.date_format("ts", "HHmmss")
+    return table(spark, sf_dir, "events").select("event_id", T.service_seconds(hms).alias("service_key"), T.clock_label(hms).alias("label")).orderBy("service_key", "event_id")
+
+
+@query("select event_id, case when isodow(ts) <= 5 then '8' when isodow(ts) = 6 then '7' else '9' end as day_code from events")
+def day_code(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.day_code(F.col("ts")).alias("day_code"))
+
+
+@query(f"""with t as (select distinct {_HMS} as arrival, cast(user_id as varchar) as train from events), k as (select *, case when cast(substring(train, 1, 1) as int) % 2 = 1 then 'up' else 'down' end as direction,
+    cast(arrival as int) + case when cast(arrival as int) >= 43000 then 0 else 240000 end as key from t), s as (select *, key // 10000 * 3600 + key // 100 % 100 * 60 + key % 100 as seconds,
+    row_number() over (partition by direction order by key, train) as a, row_number() over (partition by direction order by key desc, train desc) as d from k)
+    select direction, arrival, train, substring(arrival, 1, 2) || '시 ' || substring(arrival, 3, 2) || '분' as label from s where a = 1 or d <= 2 or (seconds > 43200 - 900 and seconds < 43200 + 3600)""")
+def first_band_last(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.date_format("ts", "HHmmss").alias("arrival"), F.col("user_id").cast("string").alias("train")).distinct()
+    return transit.board(e, 12 * 3600)
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as int) as k from events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("select * from (values (1, 1800), (2, 1800)) s(id, fare)")
+def itinerary_pick(spark, sf_dir):
+    kind = "id int, its array<struct<fare: struct<regular: struct<totalFare: int>>, legs: array<struct<mode: string>>>>"
+    trip = lambda fare, *modes: (((fare,),), [(m,) for m in modes])
+    rows = [(1, [trip(2100, "BUS"), trip(1800, "SUBWAY"), trip(1500, "BUS")]), (2, [trip(1800, "SUBWAY"), trip(1500, "SUBWAY")])]
+    return readers.literal(spark, rows, kind).select("id", transit.pick_itinerary(F.col("its"))["fare"]["regular"]["totalFare"].alias("fare"))
+
+
+@query("select * from (values (1, 0, 'WALK', 'home', '하단역'), (1, 1, 'SUBWAY', '하단역', '남포역'), (1, 2, 'WALK', '남포역', 'shop')) s(trip, n, mode, start, \"end\")")
+def leg_suffix(spark, sf_dir):
+    rows = [(1, 0, "WALK", "home", "하단"), (1, 1, "SUBWAY", "하단", "남포경찰서"), (1, 2, "WALK", "남포", "shop")]
+    return transit.named_legs(readers.literal(spark, rows, "trip int, n int, mode string, start string, end string"))
+
+
+@query("select * from (values (1, 2, 'left at 3번 출구'), (1, 3, 'straight')) s(leg, n, description)")
+def steps_from_exit(spark, sf_dir):
+    rows = [(1, 1, "down the stairs"), (1, 2, "left at 3번 출구"), (1, 3, "straight"), (2, 1, "nothing")]
+    return transit.steps_from(readers.literal(spark, rows, "leg int, n int, description string"))
+
+
+@query("select * from (values ('adult', 1450, 1650)) s(age, one, two)")
+def fare_lookup(spark, sf_dir):
+    table_ = readers.literal(spark, [("child", 0, 0), ("youth", 1050, 1200), ("adult", 1450, 1650), ("senior", 0, 0)], "age string, one int, two int")
+    return transit.fares(table_, ["adult"])
+
+
+@query()
+def markdown_chunk_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    chunks = chunking.sliding_chunks(docs).join(docs.select("doc_id", "source"), "doc_id").withColumn("metadata", F.create_map(F.lit("filename"), F.concat("source", F.lit(".md"))))
+    return sinks.markdown_chunks(chunks).select("name", F.md5("body").alias("digest"))
+
+
+@query("select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def events_tumbling(spark, sf_dir):
+    return E.tumbling(table(spark, sf_dir, "events"))
+
+
+@query("""with b as (select *, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+    s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from b) select user_id, min(ts) as start, count(*) as n from s group by user_id, k""")
+def events_session(spark, sf_dir):
+    return E.sessions(table(spark, sf_dir, "events"))
