@@ -262,8 +262,6 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     small = copies.count() <= BROADCAST_TEXTS
     first = long.join(F.broadcast(copies) if small else copies, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left_anti")
     first = first.select("doc_id", "tag", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "tag", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"))
-    # dealt out once, for the count and for what it is joined to
-    first = first.repartition("hash")
     twice = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     marked = first.join(twice, "hash", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
     # a window that holds the k words at p starts in [p - (n - k), p]
@@ -275,7 +273,7 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     hit = _blocks(regions, k).join(counts, "hash", "left_semi").groupBy("doc_id", "tag", "at").agg(F.collect_list("block").alias("found"))
     same = regions["doc_id"].eqNullSafe(F.col("h_doc")) & (regions["tag"] == F.col("h_tag")) & (regions["at"] == F.col("h_at"))
     held = regions.join(hit.withColumnsRenamed({"doc_id": "h_doc", "tag": "h_tag", "at": "h_at"}), same).select("doc_id", "tag", "at", "words", "found")
-    windows = _windows(held, n, k).repartition("high", "low")
+    windows = _windows(held, n, k)
     again = windows.groupBy("high", "low").agg(F.sum("run").alias("n")).where("n > 1").select("high", "low")
     repeats = windows.join(again, ["high", "low"], "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "run")).alias("p"))
     repeats = saved(_joined_ranges(repeats.select("doc_id", "tag", F.col("p.place").alias("places"), F.col("p.run").alias("runs")), 0, n), folder, "repeats")
