@@ -8,7 +8,8 @@ contiguous run of the greatest sum; the text is that of all blocks the run touch
 
 Elements that are no main text whatever they score (menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments, told by element, role, class or id)
-are one negative token each, and their words are dropped.
+are one negative token each, and their words are dropped. On a page that marks its article, words
+outside of the mark score negative.
 
 Block elements cut the text into blocks, <br> is white space. Character references are decoded,
 white space in a block becomes one space, blocks are joined by one newline.
@@ -50,7 +51,10 @@ NAMES = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z:_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Weights of kinds that no labelled page shows: a word by its context, a tag.
 WORD, TAG = 1.0, -0.05
-DROP = -2.0
+DROP = -0.2
+#: A word outside the marked part of a page that marks one.
+OUTSIDE = -1.0
+MARK = re.compile(r"<(?:article|main)[\s>]", re.I)
 
 
 def _dropped(name: str, attrs: str, in_article: bool) -> bool:
@@ -120,7 +124,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     blocks: list[list[str]] = [[]]
     best = run = 0.0
     start, found = 0, None
-    for kind, text, _ in tokens(page):
+    marked = MARK.search(page) is not None
+    for kind, text, inside in tokens(page):
         if kind == "block":
             if blocks[-1]:
                 blocks.append([])
@@ -128,7 +133,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         at = len(blocks) - 1
         if kind[0] == "w":
             blocks[-1].append(text)
-            score = weights.get(kind, WORD) * len(text.split())
+            score = (OUTSIDE if marked and not inside else weights.get(kind, WORD)) * len(text.split())
         else:
             score = DROP if kind == "drop" else weights.get(kind, TAG)
         if run <= 0:
