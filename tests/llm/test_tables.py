@@ -45,7 +45,7 @@ def test_rollup_is_idempotent(spark, tmp_path):
 
 
 def test_shards(spark, tmp_path):
-    store = ShardStore(spark, f"file://{tmp_path}/s", target=60_000, fanout=4)
+    store = ShardStore(spark, f"file://{tmp_path}/s", target=400_000, fanout=4)
     df = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("file"), F.lit(None).cast("int").alias("bytes"))
     for k in range(9):
         store.append(df.where(F.col("id") % 9 == k).repartition(2))
