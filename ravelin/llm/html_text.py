@@ -150,7 +150,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most: int = LABELLED) -> dict[str, float]:
     """Weights from labelled pages: words in a context from -4 to 1, tags from -4 to -0.05."""
     text = F.col(html_col)
-    labelled = pages.where(text.rlike("(?i)<(article|main)[\\s>]")).select(F.col(id_col).alias("id"), text.alias("html")).orderBy("id", "html").limit(most)
+    labelled = pages.where(text.rlike("(?i)<(article|main)[\\s>]")).select(F.col(id_col).alias("id"), text.alias("html"))
+    # ids alone are sorted; the pages are then read by a bound on them (rows that repeat an id come along)
+    last = labelled.where("id is not null").select("id").orderBy("id").limit(most).agg(F.max("id")).first()[0]
+    labelled = labelled.where(F.col("id") <= F.lit(last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
