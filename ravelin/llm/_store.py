@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy step holds at a time; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,12 +52,11 @@ def text_steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[in
 
     The column is binary (a string cast); null counts as empty.
     """
-    texts = [t or b"" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+    held = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(held), 0).to_pylist()
     first = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > STEP_BYTES:
-            yield first, k, texts[first:k]
+    for k, n in enumerate([*sizes, STEP_BYTES]):
+        if k > first and size + n > STEP_BYTES or k == len(sizes) > first:
+            yield first, k, [t or b"" for t in held.slice(first, k - first).to_pylist()]
             first, size = k, 0
-        size += len(t) + 1
-    if first < len(texts):
-        yield first, len(texts), texts[first:]
+        size += n + 1

@@ -14,6 +14,8 @@ import numpy as np
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+#: Bytes or values that one polynomial sum runs over, so that a long text needs no longer sums and powers.
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,22 +82,31 @@ def split(texts: list[bytes], lower: bool = False) -> Words:
 
 def hashes(words: Words) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial over its bytes, mixed."""
-    n = len(words.data)
-    if not len(words.start):
-        return np.zeros(0, _U64)
-    up, down = powers(n + 1), powers(n + 1, inverse())
-    sums = np.zeros(n + 1, _U64)
-    np.cumsum(_BYTE[words.data] * up[:n], out=sums[1:])
-    return mix((sums[words.end] - sums[words.start]) * down[words.start])
+    out = np.empty(len(words.start), _U64)
+    cuts = np.unique(np.searchsorted(words.start, np.arange(0, len(words.data) + BLOCK, BLOCK))).tolist()
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        begin, n = words.start[i], int(words.end[j - 1] - words.start[i])
+        up, down = powers(n + 1), powers(n + 1, inverse())
+        sums = np.zeros(n + 1, _U64)
+        np.cumsum(_BYTE[words.data[begin : begin + n]] * up[:n], out=sums[1:])
+        start = words.start[i:j] - begin
+        out[i:j] = mix((sums[words.end[i:j] - begin] - sums[start]) * down[start])
+    return out
 
 
 def rolling(values: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Hash of values[i:i + k] for every i up to len - k: a polynomial over the values, mixed."""
-    n = len(values)
-    if n < k:
+    count = len(values) - k + 1
+    if count < 1:
         return np.zeros(0, _U64)
     base = int(keys(1, seed)[0]) | 1
-    up, down = powers(n + 1, base), powers(n + 1, inverse(base))
-    sums = np.zeros(n + 1, _U64)
-    np.cumsum(values * up[:n], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    out = np.empty(count, _U64)
+    step = max(BLOCK, k)
+    for i in range(0, count, step):
+        part = values[i : min(i + step, count) + k - 1]
+        n = len(part)
+        up, down = powers(n + 1, base), powers(n + 1, inverse(base))
+        sums = np.zeros(n + 1, _U64)
+        np.cumsum(part * up[:n], out=sums[1:])
+        out[i : i + step] = mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    return out
