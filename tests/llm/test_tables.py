@@ -76,3 +76,22 @@ def test_pipeline(spark):
     for r in docs.collect():
         assert r.n_chars == len(r.text)
         assert decoded[r.doc_id] == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    long, other = (" ".join(f"the {x}{k} of" for k in range(2000)) for x in "wv")
+    rows = [(1, long, "en", "s", 3, "x"), (1, long, "en", "s", 3, "x"), (2, None, None, None, None, None), (None, long + " end", None, None, None, "y"), (3, "", "de", "s", 0, "x"), (4, long + " last", "en", None, None, "x"), (5, other, "en", "s", 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string")
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            got = sorted(((r.doc_id is None, r.doc_id or 0) for r in out.collect()))
+            if docs is not df:
+                assert got == []
+                continue
+            assert name == "bpe" or out.columns == docs.columns
+            # without words: rejected by the rules, linked with nothing, clean of benchmark text and secrets
+            ids = [(False, 1), (False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, 0)]
+            gone = {"quality_rules": {(False, 2), (False, 3)}, "near_duplicates": {(False, 4)}}.get(name, set())
+            assert got == [x for x in ids if x not in gone], name
