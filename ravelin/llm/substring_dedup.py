@@ -10,6 +10,7 @@ occur at the other place too, at any offset. So:
 2. A sieve spares the rest of the corpus the probing: of each n - k + 1 successive k-word
    hashes the least is sent on (equal windows send the same one), and texts in which no sent
    hash repeats hold no repeat. Around those that repeat lie the regions that are looked at.
+   Successive sent hashes of a text that are equal (a word repeated) are one row.
 3. Non-overlapping reference blocks of the regions are indexed by hash and probed with every
    rolling k-word window of the regions, counted by hash before the shuffle.
 4. Hits are extended: the n-word windows that contain a block found elsewhere are counted by a
@@ -18,7 +19,8 @@ occur at the other place too, at any offset. So:
 5. The ranges found go back to their texts.
 
 No pairs are made: each step counts hashes, so a passage that very many texts share costs its
-number of places. Texts are never shuffled while the ids of those to be looked at pass a check of
+number of places. What a sample of the rows shows twice is known to repeat; the most frequent of it
+are salted, so that no task gets all rows of a hash, and every other hash is counted in one task. Texts are never shuffled while the ids of those to be looked at pass a check of
 their number and are broadcast; beyond, they are joined by a shuffle.
 
 Defined cases: a null or empty text has no words; texts shorter than a window lose nothing;
@@ -42,6 +44,8 @@ from ravelin.llm._store import remove, saved, shared_dir, text_steps
 
 #: Most texts whose ids and ranges are sent to all executors; more are joined by a shuffle.
 BROADCAST_TEXTS = 500_000
+#: Share of rows sampled for frequent hashes, how many of those are salted at most, and over how many salts.
+SAMPLED, FREQUENT, SALTS = 0.02, 1000, 1024
 ROW = "doc_id long, tag int"
 
 
@@ -70,8 +74,8 @@ def _sieved(r: np.ndarray, ok: np.ndarray, span: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """doc_id, tag, n_words, digest, sha (of the words joined by a space), sieve: array of (hash, place)."""
-    schema = f"{ROW}, n_words long, digest binary, sha string, hashes array<long>, places array<int>"
+    """doc_id, tag, n_words, digest, sha (of the words joined by a space), sieve: arrays of hashes, places and runs (places from the first to the last of equal hashes in succession)."""
+    schema = f"{ROW}, n_words long, digest binary, sha string, hashes array<long>, places array<int>, runs array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +85,18 @@ def _scan(docs: DataFrame, n: int, k: int) -> DataFrame:
                 digests, tag = _tags(words, h)
                 r = W.rolling(h, k, 5)
                 at = _sieved(r, _inside(words, k), n - k + 1)
+                edge = np.searchsorted(at, words.first)
+                new = np.concatenate([[True], r[at[1:]] != r[at[:-1]]])[: len(at)]
+                new[edge[edge < len(at)]] = True
+                head = np.flatnonzero(new)
+                tail = at[(np.append(head[1:], len(at)) - 1)[: len(head)]]
+                at = at[head]
                 cut = np.searchsorted(at, words.first)
                 begin = np.repeat(words.first[:-1], np.diff(cut))
-                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (r[at].view(np.int64), (at - begin).astype(np.int32))]
+                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x)) for x in (r[at].view(np.int64), (at - begin).astype(np.int32), (tail - at + 1).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), pa.array(tag), pa.array(np.diff(words.first)), pa.array(digests, pa.binary()), pa.array([_sha(t) for t in texts]), *lists],
-                    names=["doc_id", "tag", "n_words", "digest", "sha", "hashes", "places"],
+                    names=["doc_id", "tag", "n_words", "digest", "sha", "hashes", "places", "runs"],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -243,6 +253,23 @@ def _beside(docs: DataFrame, rows: DataFrame, payload: int) -> DataFrame:
     return docs.join(F.broadcast(rows) if small else rows, F.col("doc_id").eqNullSafe(F.col("of")))
 
 
+def _frequent(sample: DataFrame, keys: list[str]) -> DataFrame:
+    """The most frequent of the keys that a sample of rows holds twice or more; at most FREQUENT rows."""
+    counts = sample.groupBy(*keys).agg(F.sum("run").alias("n")).where("n > 1")
+    return counts.orderBy(F.desc("n"), *keys).limit(FREQUENT).select(*keys)
+
+
+def _repeating(rows: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
+    """doc_id, tag, places, runs: the places whose key occurs twice or more. Those of ``frequent`` do, and are dealt out by a salt."""
+    known = F.broadcast(frequent.withColumn("known", F.lit(True)))
+    salt = F.when(F.col("known"), 1 + F.pmod(F.xxhash64("doc_id", "tag", "place"), F.lit(SALTS))).otherwise(0).cast("int")
+    # dealt out once, for the count and for what it is joined to
+    dealt = rows.join(known, keys, "left").select("doc_id", "tag", *keys, "place", "run", salt.alias("salt")).repartition(*keys, "salt")
+    again = dealt.groupBy(*keys, "salt").agg(F.sum("run").alias("n")).where("n > 1 or salt > 0").select(*keys, "salt")
+    found = dealt.join(again, [*keys, "salt"], "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "run")).alias("p"))
+    return found.select("doc_id", "tag", F.col("p.place").alias("places"), F.col("p.run").alias("runs"))
+
+
 def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by a space)."""
     spark = docs.sparkSession
@@ -261,13 +288,11 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     copies = saved(copies.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).distinct(), folder, "copies")
     small = copies.count() <= BROADCAST_TEXTS
     first = long.join(F.broadcast(copies) if small else copies, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left_anti")
-    first = first.select("doc_id", "tag", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "tag", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"))
-    # dealt out once, for the count and for what it is joined to
-    first = first.repartition("hash")
-    twice = first.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    marked = first.join(twice, "hash", "left_semi").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
+    first = first.select("doc_id", "tag", F.explode(F.arrays_zip("hashes", "places", "runs")).alias("s"))
+    first = first.select("doc_id", "tag", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"), F.col("s.runs").alias("run"))
+    frequent = saved(_frequent(first.sample(SAMPLED, seed=7), ["hash"]), folder, "frequent-hashes")
     # a window that holds the k words at p starts in [p - (n - k), p]
-    marked = saved(_joined_ranges(marked.withColumn("runs", F.transform("places", lambda p: F.lit(1))), n - k, 2 * n - k), folder, "marked")
+    marked = saved(_joined_ranges(_repeating(first, frequent, ["hash"]), n - k, 2 * n - k), folder, "marked")
     payload = marked.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
 
     regions = saved(_regions(_beside(docs, marked, payload)), folder, "regions")
@@ -275,10 +300,11 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     hit = _blocks(regions, k).join(counts, "hash", "left_semi").groupBy("doc_id", "tag", "at").agg(F.collect_list("block").alias("found"))
     same = regions["doc_id"].eqNullSafe(F.col("h_doc")) & (regions["tag"] == F.col("h_tag")) & (regions["at"] == F.col("h_at"))
     held = regions.join(hit.withColumnsRenamed({"doc_id": "h_doc", "tag": "h_tag", "at": "h_at"}), same).select("doc_id", "tag", "at", "words", "found")
-    windows = _windows(held, n, k).repartition("high", "low")
-    again = windows.groupBy("high", "low").agg(F.sum("run").alias("n")).where("n > 1").select("high", "low")
-    repeats = windows.join(again, ["high", "low"], "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "run")).alias("p"))
-    repeats = saved(_joined_ranges(repeats.select("doc_id", "tag", F.col("p.place").alias("places"), F.col("p.run").alias("runs")), 0, n), folder, "repeats")
+    # every window of the sampled regions, as a block every n - k + 1 words lies in each
+    everywhere = F.sequence("at", F.col("at") + (F.octet_length("words") / 8).cast("int"), F.lit(n - k + 1))
+    sampled = _windows(regions.sample(SAMPLED, seed=7).withColumn("found", everywhere), n, k)
+    frequent = saved(_frequent(sampled, ["high", "low"]), folder, "frequent-windows")
+    repeats = saved(_joined_ranges(_repeating(_windows(held, n, k), frequent, ["high", "low"]), 0, n), folder, "repeats")
     for x in ("regions", "marked"):
         remove(spark, f"{folder}/{x}")
     payload = repeats.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]

@@ -108,9 +108,11 @@ def removed(rows, n):
     return out
 
 
-@pytest.mark.parametrize("n,limit", [(1, 500_000), (2, 500_000), (5, 500_000), (13, 500_000), (5, 0)])
-def test_substrings_as_brute_force(spark, monkeypatch, n, limit):
+@pytest.mark.parametrize("n,limit,sampled", [(1, 500_000, 0.5), (2, 500_000, 1.0), (5, 500_000, 0.02), (5, 500_000, 0.5), (13, 500_000, 1.0), (5, 0, 0.5)])
+def test_substrings_as_brute_force(spark, monkeypatch, n, limit, sampled):
     monkeypatch.setattr(substring_dedup, "BROADCAST_TEXTS", limit)
+    monkeypatch.setattr(substring_dedup, "SAMPLED", sampled)
+    monkeypatch.setattr(substring_dedup, "SALTS", 3)
     r = random.Random(3)
     base = [r.choice("abc") for _ in range(300)]
     rows = []
