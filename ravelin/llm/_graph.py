@@ -1,8 +1,10 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Links stay in tables: every round is two joins on a node, with the smallest neighbour found by
-an aggregate, so a node with very many links is one partial row a task. Rounds are written to
-the shared folder, as a cut in lineage.
+an aggregate, so a node with very many links is one partial row a task. The links of a node with
+more than a thousandth of all are not dealt out by that node: there are at most 2000 such nodes,
+and their smallest neighbours are broadcast. Rounds are written to the shared folder, as a cut in
+lineage.
 """
 
 from __future__ import annotations
@@ -13,16 +15,28 @@ from pyspark.sql import functions as F
 from ravelin.llm._store import remove, saved
 
 
-def _large(e: DataFrame) -> DataFrame:
+#: A node of fewer links than this is never treated as one of very many.
+FEW = 1000
+
+
+def _beside_least(rows: DataFrame, least: DataFrame, node: str, most: int) -> DataFrame:
+    """Each row with the m of its node: by broadcast for nodes of more than ``most`` rows, else by a shuffle."""
+    hubs = F.broadcast(least.where(F.col("n") > most).select(node, "m"))
+    others = least.where(F.col("n") <= most).select(node, "m")
+    return rows.join(hubs, node).union(rows.join(hubs.select(node), node, "left_anti").join(others, node))
+
+
+def _large(e: DataFrame, most: int) -> DataFrame:
     both = e.union(e.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    larger = both.where(F.col("v") > F.col("u"))
+    return _beside_least(larger, least, "u", most).select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, most: int) -> DataFrame:
     # a is the smaller end: each node's smaller neighbours hang below the least of them
-    least = e.groupBy("b").agg(F.min("a").alias("m"))
-    moved = e.join(least, "b").where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
+    least = e.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+    moved = _beside_least(e, least, "b", most).where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b"))
 
 
@@ -31,14 +45,16 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     spark = links.sparkSession
     ends = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = saved(ends, folder, f"{name}-0")
-    last, k = None, 0
+    last, k, size = None, 0, e.count()
     while True:
         k += 1
-        nxt = saved(_small(_large(e).where("a <> b").distinct()).where("a <> b").distinct(), folder, f"{name}-{k}")
+        # neither step makes more links than it gets
+        most = max(FEW, size // 1000)
+        nxt = saved(_small(_large(e, most).where("a <> b").distinct(), most).where("a <> b").distinct(), folder, f"{name}-{k}")
         remove(spark, f"{folder}/{name}-{k - 1}")
         # a sum over hashes of the links tells whether they changed
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        e = nxt
+        e, size = nxt, now[0]
         if now == last:
             break
         last = now

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from ravelin.llm import near_duplicates, substring_dedup
+from ravelin.llm import _graph, near_duplicates, substring_dedup
 from ravelin.llm._graph import components
 
 GAP = r"[^\x20\x09-\x0D]+"
@@ -82,9 +82,11 @@ def test_bands_keep_links():
     assert [n for n, _ in least] == [32, 64, 96, 128, 160] and all(m < 0.85 * n for n, m in least)
 
 
-def test_components(spark, tmp_path):
+@pytest.mark.parametrize("few", [1, 3, 1000])
+def test_components(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(_graph, "FEW", few)
     r = random.Random(2)
-    links = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(k, k + 1) for k in range(200, 240)]
+    links = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(k, k + 1) for k in range(200, 240)] + [(300, k) for k in range(280, 320)] + [(k, 400) for k in range(380, 400)]
     up = {}
     root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
     for a, b in links:
