@@ -146,7 +146,8 @@ def _redacted(text: Column, spans: Column, mask: str) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every base span and live-looking candidate in the text replaced by ``mask``; null texts stay null.
 
-    Texts without a candidate are redacted where they are; only the others meet the corpus-wide counts, by text.
+    Texts without a bare candidate are redacted where they are; only the others meet the corpus-wide counts, by text.
+    The counts are those of report(): base spans and bare candidates together, by the credential.
     """
     taken = set(docs.columns)
     names = {}
@@ -158,9 +159,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     text = F.col(text_col)
     found = docs.withColumn(f, _found(F.coalesce(text, F.lit(""))))
     some = found.where(F.size(F.col(f)["more"]) > 0).withColumn(sha, F.sha2(text, 256))
-    cand = some.select(*_owned(docs, owner_col, repository_col, id_col), F.col(sha).alias("sha"), F.explode(F.col(f)["more"]).alias("c"))
-    cand = cand.withColumn("hash", F.sha2(F.col("c.value"), 256))
-    live = cand.join(ownership(cand).where("live").select("hash"), "hash", "left_semi")
+    # base spans count as owners' occurrences, as in report(); only bare candidates add masks
+    held = found.where((F.size(F.col(f)["base"]) > 0) | (F.size(F.col(f)["more"]) > 0))
+    cand = held.select(*_owned(docs, owner_col, repository_col, id_col), F.sha2(text, 256).alias("sha"), F.explode(F.concat(F.col(f)["base"], F.col(f)["more"])).alias("c"))
+    cand = cand.withColumn("hash", F.sha2(_secret(F.col("c")), 256))
+    live = cand.where(F.col("c.kind") == 3).join(ownership(cand).where("live").select("hash"), "hash", "left_semi")
     per = live.groupBy(F.col("sha").alias(sha)).agg(F.collect_set("c").alias(added))
     spans = F.array_sort(F.concat(F.col(f)["base"], F.coalesce(F.col(added), F.array().cast(NONE))))
     plain = found.where(F.size(F.col(f)["more"]) == 0).withColumn(text_col, F.when(F.size(F.col(f)["base"]) > 0, _redacted(text, F.col(f)["base"], mask)).otherwise(text))

@@ -100,3 +100,21 @@ def test_secrets(spark):
     assert len(clean) == len(SECRETS) and clean[1] is None and clean[7] == "key [SECRET] end" and clean[8] == SECRETS[8]
     assert clean[5] == "token=abc [SECRET]" and clean[6] == '😀[SECRET]"'
     assert secrets.report(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
+
+
+def masked(t, spans):
+    """Brute force of redact's masks from report's spans."""
+    out, at = "", 0
+    for a, b in sorted(tuple(map(int, x.split(":")[1:])) for x in spans.split(",") if x):
+        if a >= at:
+            out += t[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + t[at:]
+
+
+def test_redact_masks_what_report_says(spark):
+    texts = [(k, f"token={SHARED} {k}", f"s{k}") for k in range(6)] + [(6, f"bare {SHARED}", "s0"), (7, f"bare {LIVE} x", "s0"), (8, f"secret: '{LIVE}'", "s0")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    spans = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    assert spans[6] == "" and "live" in spans[7]
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {k: masked(t, spans[k]) for k, t, _ in texts}
