@@ -3,7 +3,7 @@
 Base spans come from three patterns. Beyond them every long mixed token of letters and digits
 is a candidate: its hash is counted over the whole corpus by distinct repositories and distinct
 owners. A candidate that several owners hold is a widely copied example; one that a single owner
-holds in few repositories looks like a live credential and adds a span of kind ``live``.
+holds, in however many repositories, looks like a live credential and adds a span of kind ``live``.
 The owner is a column of the table (``source``); a repository is a document of an owner unless
 a column is named. Counts are sums of partial counts by (hash, owner), so a hash held by a third
 of all rows meets its total as one row an owner and task.
@@ -31,8 +31,8 @@ HEX = r"[0-9a-f]{16,}"
 #: A candidate beyond the base patterns: 20 or more token characters.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
-#: Most distinct owners, and most distinct repositories, of a credential that looks live.
-LIVE_OWNERS, LIVE_REPOSITORIES = 1, 3
+#: Most distinct owners of a credential that looks live. Repositories set no limit: by default they are documents, and an owner may copy a page any number of times.
+LIVE_OWNERS = 1
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -99,7 +99,7 @@ def ownership(candidates: DataFrame) -> DataFrame:
     """hash, owners, repositories and live of candidates (hash, owner, nobody, repository)."""
     by_owner = candidates.select("hash", "owner", "nobody", "repository").distinct().groupBy("hash", "owner", "nobody").agg(F.count("*").alias("n"))
     counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    return counts.withColumn("live", (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES))
+    return counts.withColumn("live", F.col("owners") <= LIVE_OWNERS)
 
 
 def _said(spans: Column) -> Column:

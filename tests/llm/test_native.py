@@ -118,3 +118,11 @@ def test_redact_masks_what_report_says(spark):
     spans = {r.doc_id: r.spans for r in secrets.report(df).collect()}
     assert spans[6] == "" and "live" in spans[7]
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {k: masked(t, spans[k]) for k, t, _ in texts}
+
+
+def test_an_owners_copies_stay_live(spark):
+    texts = [(k, f"page {k % 5} {LIVE} end", "hot") for k in range(40)] + [(40 + k, f"example {SHARED}", f"s{k}") for k in range(2)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.spans, r.n_live) for r in secrets.report(df).collect()}
+    assert got == {k: (f"live:{t.index(LIVE)}:{t.index(LIVE) + len(LIVE)}", 1) if s == "hot" else ("", 0) for k, t, s in texts}
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {k: t.replace(LIVE, "[SECRET]") for k, t, _ in texts}
