@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from ravelin.functions.vector import dot, doubles, unit
 
 #: Our choice of the constants that only libraries know.
 K1, B, RRF = 1.5, 0.75, 60
-#: Most query rows that are sent to all executors.
+#: Most query rows that are sent to all executors at a time.
 BROADCAST_QUERIES = 10_000
 
 
@@ -48,13 +50,20 @@ def cosine(vectors: DataFrame, query: list[float], id_col: str = "vec_id", colum
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """Exact k nearest of each query by cosine: query_id, vec_id, score, rank. Itself is left out.
 
-    Queries are a stated set and checked to be few; each partition keeps its own k best of every
-    query by matrix products, so what is shuffled is k rows a query and partition.
+    Queries are walked in blocks of at most ``BROADCAST_QUERIES`` rows. For each block, each partition
+    keeps its own k best of every query by matrix products, so what is shuffled is k rows a query and
+    partition. The driver takes the query rows a partition at a time and holds their vectors.
     """
-    found = queries.select(F.col(id_col).alias("q"), doubles(F.col(column)).alias("v")).limit(BROADCAST_QUERIES + 1).collect()
-    if len(found) > BROADCAST_QUERIES:
-        raise ValueError(f"more than {BROADCAST_QUERIES} queries; call nearest with blocks of them")
-    ids, q = np.array([r.q for r in found], np.int64), np.array([r.v for r in found], float)
+    found = queries.select(F.col(id_col).alias("q"), doubles(F.col(column)).alias("v")).toLocalIterator()
+    blocks = [(np.array([r.q for r in rows], np.int64), np.array([r.v for r in rows], float)) for rows in batched(found, BROADCAST_QUERIES)]
+    none = (np.empty(0, np.int64), np.empty(0))
+    near = reduce(DataFrame.unionByName, [_near(vectors, *block, k, id_col, column) for block in blocks or [none]])
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _near(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, id_col: str, column: str) -> DataFrame:
+    """query_id, vec_id and score of what may be among the k nearest of a block of queries."""
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(q) else q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +82,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
                     x, y = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a + x]), pa.array(own[y]), pa.array(s[x, y])], names=["query_id", id_col, "score"])
 
-    near = vectors.select(F.col(id_col), doubles(F.col(column)).alias("v")).mapInArrow(run, f"query_id long, {id_col} long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return vectors.select(F.col(id_col), doubles(F.col(column)).alias("v")).mapInArrow(run, f"query_id long, {id_col} long, score double")
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], id_col: str = "doc_id", c: int = RRF) -> DataFrame:

@@ -86,3 +86,13 @@ def test_stream_resumes(spark, tmp_path):
 
 def test_sentences(spark):
     assert one(spark, transit.sentences(F.array(F.lit("go"), F.lit(None).cast("string"), F.lit("turn")))) == "1. go\n2. turn"
+
+
+def test_nearest_walks_queries_in_blocks(spark, monkeypatch):
+    rows = [(k, [float(k % 7 + 1), float(k % 5), float(k)]) for k in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    take = lambda q: sorted(map(tuple, retrieval.nearest(v, q, 3).collect()))
+    whole = take(v.where("vec_id % 2 = 0"))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 6)
+    assert take(v.where("vec_id % 2 = 0")) == whole and len(whole) == 60
+    assert take(v.limit(0)) == []
