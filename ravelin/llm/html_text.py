@@ -1,8 +1,10 @@
 """Main text of HTML pages by a maximum-scoring run of tokens.
 
 A page is a sequence of tags and words. Words score positive and tags negative, with weights
-from labelled pages: those that mark their article with <article> or <main>, of which at most
-``LABELLED`` are read (the least ids). A weight is the clipped logarithm of how much more often
+from labelled pages: those that mark their article with <article> or <main>, of which
+``LABELLED`` are taken (the least ids). A page marks its article if at least half of its words apart
+from links, in what isn't dropped, lie in such elements; a tag in a comment or script, or on teaser
+cards beside a longer body, marks nothing. A weight is the clipped logarithm of how much more often
 a token of that kind lies inside the marked part than outside. One linear scan finds the
 contiguous run of the greatest sum; the text is that of all blocks the run touches.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled pages the weights are fitted on.
+#: Most ids of labelled pages the weights are fitted on.
 LABELLED = 500
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select)\b(?:[^"'>]|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"""
@@ -117,6 +119,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         yield "t:" + name, "", article > 0
 
 
+def _marks(found: list[tuple[str, str, bool]]) -> bool:
+    """Whether the tokens of a page have at least half of their words apart from links in <article> or <main>."""
+    n = [0, 0]
+    for kind, text, inside in found:
+        if kind[0] == "w" and kind != "w:a":
+            n[inside] += len(text.split())
+    return n[True] > 0 and n[True] >= n[False]
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """Main text of a page."""
     if not page:
@@ -124,8 +135,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     blocks: list[list[str]] = [[]]
     best = run = 0.0
     start, found = 0, None
-    marked = MARK.search(page) is not None
-    for kind, text, inside in tokens(page):
+    seen = list(tokens(page))
+    marked = MARK.search(page) is not None and _marks(seen)
+    for kind, text, inside in seen:
         if kind == "block":
             if blocks[-1]:
                 blocks.append([])
@@ -151,15 +163,32 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", most:
     """Weights from labelled pages: words in a context from -4 to 1, tags from -4 to -0.05."""
     text = F.col(html_col)
     labelled = pages.where(text.rlike("(?i)<(article|main)[\\s>]")).select(F.col(id_col).alias("id"), text.alias("html"))
-    # ids alone are sorted; the pages are then read by a bound on them (rows that repeat an id come along)
-    last = labelled.where("id is not null").select("id").orderBy("id").limit(most).agg(F.max("id")).first()[0]
+
+    def marking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([_marks(list(tokens(x))) for x in batch.column(1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep)], names=["id"])
+
+    # ids alone are sorted; the pages are then read by a bound on them (rows that repeat an id come along), in
+    # rounds of twice as many until enough mark their article
+    after, last, have, size = None, None, 0, most
+    kind = labelled.schema["id"].dataType.simpleString()
+    while have < most:
+        rest = labelled.where("id is not null") if after is None else labelled.where(F.col("id") > F.lit(after))
+        edge = rest.select("id").orderBy("id").limit(size).agg(F.max("id")).first()[0]
+        if edge is None:
+            break
+        good = rest.where(F.col("id") <= F.lit(edge)).select("id", "html").mapInArrow(marking, f"id {kind}")
+        good = good.distinct().orderBy("id").limit(most - have).agg(F.max("id"), F.count("*")).first()
+        after, last, have, size = edge, last if good[0] is None else good[0], have + good[1], 2 * size
     labelled = labelled.where(F.col("id") <= F.lit(last))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                for kind, text, inside in tokens(page):
+                seen = list(tokens(page))
+                for kind, text, inside in seen if _marks(seen) else ():
                     if kind[:2] in ("w:", "t:") and kind != "w:space":
                         n[kind, inside] += len(text.split()) if kind[0] == "w" else 1
         keys = list(n)

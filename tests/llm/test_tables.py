@@ -95,3 +95,20 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
             ids = [(False, 1), (False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, 0)]
             gone = {"quality_rules": {(False, 2), (False, 3)}, "near_duplicates": {(False, 4)}}.get(name, set())
             assert got == [x for x in ids if x not in gone], name
+
+
+def test_only_words_mark_an_article(spark):
+    body = "".join(f"<p>Sentence {k} of the long body text.</p>" for k in range(20))
+    want = "\n".join(f"Sentence {k} of the long body text." for k in range(20))
+    hidden = ["<!-- <article class=x> <main> -->", "<script>var t = '<article >';</script>", "<template><main>x</main></template>", "<article></article>"]
+    pages = [f"<html><body>{x}<div>{body}</div></body></html>" for x in hidden]
+    teasers = "".join(f"<article><a href='/{k}'>card {k}</a><p>more</p></article>" for k in range(3))
+    pages.append(f"<html><body><div>{body}</div>{teasers}</body></html>")
+    real = "<html><body><div>outside</div><article><p>" + "inside words " * 9 + "</p></article><div>outside</div></body></html>"
+    assert [html_text.extract(x, {}) for x in pages[:4]] == [want] * 4 and html_text.extract(pages[4], {}).startswith(want)
+    assert html_text.extract(real, {}) == ("inside words " * 9).strip()
+    # pages that mark nothing don't count as labelled, however many come first
+    rows = [(k, x) for k, x in enumerate([*pages, real])]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    assert html_text.fit(df, most=1) == html_text.fit(df.where("page_id = 5"), most=1) != {}
+    assert html_text.fit(df.where("page_id < 5"), most=1) == {}
