@@ -2,20 +2,26 @@
 
 A word is a run of bytes other than space, tab, \\n, \\v, \\f and \\r, which is the same
 as a run of such code points because those bytes never occur inside a longer UTF-8 sequence.
+
+Hashes are chains and trees of a mixing step, not sums, so no arrangement of few symbols (as in
+sequences that cancel in polynomials modulo 2**64) makes unequal words or windows meet.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 
 _U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-#: Bytes or values that one polynomial sum runs over, so that a long text needs no longer sums and powers.
+#: Values that one step of a rolling hash runs over, so that a long text needs no longer arrays.
 BLOCK = 1 << 18
+#: Bytes of a range that are hashed eight at a time; a longer one is digested by itself.
+LONG = 512
+#: Bytes a buffer has after its last range, so that eight can be read from anywhere in it.
+SPARE = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,27 +37,11 @@ def keys(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(n, dtype=_U64) + _U64((seed * 0x632BE59BD9B4E019) & _MASK))
 
 
-_BYTE = keys(256, 11)
 SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-
-
-@cache
-def _powers(log2: int, base: int) -> np.ndarray:
-    """base**i modulo 2**64 for i below 2**log2."""
-    out = np.ones(1, _U64)
-    for k in range(log2):
-        out = np.concatenate([out, out * _U64(pow(base, 1 << k, 1 << 64))])
-    return out
-
-
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    return _powers(max(1, int(n).bit_length()), base)
-
-
-def inverse(base: int = _BASE) -> int:
-    return pow(base, -1, 1 << 64)
+#: What to keep of eight bytes read little-endian when n of them are asked for.
+KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], _U64)
 
 
 @dataclass
@@ -70,7 +60,7 @@ class Words:
 
 def split(texts: list[bytes], lower: bool = False) -> Words:
     """Words of each text; ``lower`` lower-cases A-Z and nothing else."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    data = np.frombuffer(b"\n".join(texts) + b"\n" * (1 + SPARE), np.uint8)
     if lower:
         data = LOWER[data]
     gap = SPACE[data]
@@ -80,33 +70,59 @@ def split(texts: list[bytes], lower: bool = False) -> Words:
     return Words(data, start, end, np.searchsorted(start, bounds))
 
 
-def hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, mixed."""
-    out = np.empty(len(words.start), _U64)
-    cuts = np.unique(np.searchsorted(words.start, np.arange(0, len(words.data) + BLOCK, BLOCK))).tolist()
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        begin, n = words.start[i], int(words.end[j - 1] - words.start[i])
-        up, down = powers(n + 1), powers(n + 1, inverse())
-        sums = np.zeros(n + 1, _U64)
-        np.cumsum(_BYTE[words.data[begin : begin + n]] * up[:n], out=sums[1:])
-        start = words.start[i:j] - begin
-        out[i:j] = mix((sums[words.end[i:j] - begin] - sums[start]) * down[start])
+def chunks(data: np.ndarray, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k to 8k + 8 of each range as a number, with zeros after its end."""
+    eight = np.ndarray(len(data) - SPARE + 1, "<u8", data, strides=(1,))
+    return eight[start + 8 * k] & KEEP[np.minimum(size - 8 * k, 8)]
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each range; ``data`` has SPARE bytes after the last."""
+    size = end - start
+    out = mix(size.astype(_U64))
+    on, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(on):
+        out[on] = mix(out[on] ^ chunks(data, start[on], size[on], k))
+        k += 1
+        on = on[size[on] > 8 * k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
+def hashes(words: Words) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return range_hashes(words.data, words.start, words.end)
+
+
 def rolling(values: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Hash of values[i:i + k] for every i up to len - k: a polynomial over the values, mixed."""
+    """Hash of values[i:i + k] for every i up to len - k, joined from hashes of runs of 1, 2, 4, ... values."""
     count = len(values) - k + 1
     if count < 1:
         return np.zeros(0, _U64)
-    base = int(keys(1, seed)[0]) | 1
+    salt = keys(3, seed) | _U64(1)
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * salt[0]
+        x ^= x >> _U64(32)
+        x += b
+        x *= salt[1]
+        x ^= x >> _U64(29)
+        return x
+
     out = np.empty(count, _U64)
     step = max(BLOCK, k)
     for i in range(0, count, step):
-        part = values[i : min(i + step, count) + k - 1]
-        n = len(part)
-        up, down = powers(n + 1, base), powers(n + 1, inverse(base))
-        sums = np.zeros(n + 1, _U64)
-        np.cumsum(part * up[:n], out=sums[1:])
-        out[i : i + step] = mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+        run = values[i : min(i + step, count) + k - 1]
+        n = len(run) - k + 1
+        whole, done, width = None, 0, 1
+        while True:
+            if k & width:
+                part = run[done : done + n]
+                whole, done = part if whole is None else join(whole, part), done + width
+            if 2 * width > k:
+                break
+            run = join(run[:-width], run[width:])
+            width *= 2
+        out[i : i + step] = mix(whole ^ salt[2])
     return out
