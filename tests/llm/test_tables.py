@@ -1,6 +1,11 @@
 import hashlib
+import re
+import time
+from html import unescape
 
 import corpus_pipeline
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ravelin.llm import html_text, token_counts
@@ -21,13 +26,92 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
-def test_marked_articles_are_found_on_held_out_pages(spark):
+def truth(page):
+    """Text of the one <article> of a page of the sample tables, by patterns of its own."""
+    body = page[page.index("<article>") + 9 : page.index("</article>")]
+    blocks = re.split(r"</?(?:p|h1)>", body)
+    lines = (" ".join(unescape(re.sub("<[^>]*>", "", re.sub("<br>", " ", x))).split()) for x in blocks)
+    return "\n".join(x for x in lines if x)
+
+
+def test_every_page_as_its_article(spark):
+    """Marked pages give their article; so do held-out pages whose mark is taken away."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     weights = html_text.fit(pages, most=50)
-    for r in pages.orderBy(F.desc("page_id")).limit(100).collect():
-        body = r.html[r.html.index("<article>") : r.html.index("</article>")]
-        text = html_text.extract(r.html, weights)
-        assert text == html_text.extract(body + "</article>", weights) and text
+    rows = pages.orderBy("page_id").collect()
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert got == {r.page_id: truth(r.html) for r in rows}
+    for r in rows[-100:]:
+        bare = re.sub("<(/?)article>", r"<\1div>", r.html)
+        assert html_text.extract(bare, weights) == truth(r.html)
+
+
+def brute_run(x):
+    runs = [(-sum(x[i : j + 1]), j, -i) for i in range(len(x)) for j in range(i, len(x)) if sum(x[i : j + 1]) > 0]
+    return (-min(runs)[2], min(runs)[1]) if runs else None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-3, 3), max_size=14))
+def test_the_scan_finds_the_maximum_run(x):
+    assert html_text.best_run(x) == brute_run(x)
+
+
+BODY = " ".join(f"word{k}" for k in range(60))
+
+
+def test_containers_keep_their_text():
+    for name in ("layout has-sidebar", "no-sidebar", "sidebar-left", "content ad", "page-wrapper"):
+        for inner in (f"<p>{BODY}</p>", f"<article><p>{BODY}</p></article>", f"<main><div><p>{BODY}</p></div></main>"):
+            assert html_text.extract(f'<html><body><div class="{name}">{inner}</div></body></html>', {}) == BODY
+            assert html_text.extract(f'<html><body class="{name}"><form id="f">{inner}</form></body></html>', {}) == BODY
+    for name in ("social-science", "notice-board", "ad-free", "related-work", "shareholders", "commentary"):
+        for mark in ("article", "div"):
+            assert html_text.extract(f'<{mark}><p>{BODY}</p><div class="{name}">kept here</div></{mark}>', {}) == f"{BODY}\nkept here"
+    for name in ("sidebar", "cookie-notice", "adBanner", "site-footer", "share-buttons", "related_posts", "comments", "comment-list"):
+        for mark in ("article", "div"):
+            assert html_text.extract(f'<{mark}><p>{BODY}</p><div class="{name}"><p>gone</p></div></{mark}>', {}) == BODY
+    # reader comments go however long they are
+    assert html_text.extract(f'<article><p>{BODY}</p><section id="comments">{("<p>" + BODY + "</p>") * 9}</section></article>', {}) == BODY
+
+
+def test_several_marked_parts_are_kept():
+    small, between = "one two three four five", "<div>" + "x " * 12 + "</div>"
+    assert html_text.extract(f"<article>{small}</article>{between}<article><p>{BODY}</p></article>", {}) == f"{small}\n{BODY}"
+    cards = "".join(f"<article><a href='/{k}'>card number {k}</a></article>" for k in range(4))
+    assert html_text.extract(f"<main><p>{BODY}</p></main>{cards}", {}) == BODY
+
+
+def test_weights_change_what_unmarked_pages_give(spark):
+    """Names that labelled pages show outside of their articles only, and words in contexts they show there."""
+    labelled = [(k, f'<body><div class="x9">{"teaser words " * 9}</div><ul><li>{"item " * 30}</li></ul><article><p class="lead">{BODY}</p></article></body>') for k in range(5)]
+    weights = html_text.fit(spark.createDataFrame(labelled, "page_id long, html string"))
+    assert weights["o:x9"] and weights["c:x9"] == -100 and weights["w:li"] == -100 and weights["w:p"] > 0 and weights["c:lead"] > 0
+    page = f'<div><p>{BODY}</p><div class="x9">out</div><p>{BODY}</p></div><ul><li>some tail</li></ul>'
+    assert html_text.extract(page, {}) == f"{BODY}\nout\n{BODY}\nsome tail"
+    assert html_text.extract(page, weights) == f"{BODY}\n{BODY}"
+    # rows that repeat an id count once
+    assert html_text.fit(spark.createDataFrame(labelled * 3, "page_id long, html string"), most=5) == weights
+
+
+def test_malformed_pages_take_linear_time():
+    for bad in ("<p ", '<p a="', "<p a='\"", "<!--", "<script>", "</", "<", "<p>", "<li>", "<div>", "<a b='>", "<nav>", "<td><tr>"):
+        began = time.process_time()
+        html_text.extract(bad * (1_000_000 // len(bad)), {})
+        assert time.process_time() - began < 8, bad
+    began = time.process_time()
+    html_text.extract("<div>a " * 60_000 + "<article></article>" * 60_000, {})
+    assert time.process_time() - began < 8
+    assert html_text.extract("text <b unclosed", {}) == "text < b unclosed"
+    assert html_text.extract('<p title="never closed>one <b>two</b></p><p>three</p>', {}) == "one two\nthree"
+    assert html_text.extract("<p>a<script>var x = '</p>'", {}) == "a" and html_text.extract("<p>a<nav>b<article>c d</article>", {}) == "c d"
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "u", f"<article>{BODY}</article>", "t", 5, "k")] * 2 + [(None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, id string")
+    got = sorted(map(tuple, html_text.main_text(df).collect()), key=repr)
+    assert got == [(1, "u", BODY, len(BODY))] * 2 + [(None, None, "", 0)]
 
 
 def test_rollup_is_idempotent(spark, tmp_path):
