@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Links stay in tables: every round is two joins on a node, with the smallest neighbour found by
-an aggregate, so a node with very many links is one partial row a task. Rounds are written to
-the shared folder, as a cut in lineage.
+Links stay in tables: every round finds the smallest neighbour of each node twice. The links of a
+node are dealt to many tasks by a salt and its smallest neighbour goes back to each of them, so no
+task gets all links of a node. Rounds are written to the shared folder, as a cut in lineage.
 """
 
 from __future__ import annotations
@@ -13,17 +13,34 @@ from pyspark.sql import functions as F
 from ravelin.llm._store import remove, saved
 
 
+#: Tasks that the rows of one key are dealt to.
+SALTS = 256
+
+
+def beside_group(rows: DataFrame, keys: list[str], by: list[str], **made: tuple[str, str]) -> DataFrame:
+    """``rows`` with aggregates over their key as further columns: name=(min, max or sum, column).
+
+    Rows are dealt by key and a salt from the columns ``by``, so no task gets all rows of a key; the groups
+    of a key meet as one row a salt, and what they come to goes back to each salt that is there. Null keys go.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).repartition(*keys, "salt")
+    over = lambda name, column, to: getattr(F, name)(column).alias(to)
+    part = dealt.groupBy(*keys, "salt").agg(*[over(f, c, to) for to, (f, c) in made.items()])
+    whole = part.groupBy(*keys).agg(*[over(f, to, to) for to, (f, _) in made.items()], F.collect_set("salt").alias("salts"))
+    spread = whole.select(*keys, *made, F.explode("salts").alias("salt"))
+    return dealt.join(spread, [*keys, "salt"]).drop("salt")
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
+    found = beside_group(both, ["u"], ["v"], m=("min", "v"))
+    return found.where(F.col("v") > F.col("u")).select(F.least("m", "u").alias("a"), F.col("v").alias("b"))
 
 
 def _small(e: DataFrame) -> DataFrame:
-    # a is the smaller end: each node's smaller neighbours hang below the least of them
-    least = e.groupBy("b").agg(F.min("a").alias("m"))
-    moved = e.join(least, "b").where(F.col("a") != F.col("m")).select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return moved.union(least.select(F.col("m").alias("a"), "b"))
+    # a is the smaller end: each node's smaller neighbours hang below the least of them, as does the node
+    found = beside_group(e, ["b"], ["a"], m=("min", "a"))
+    return found.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:

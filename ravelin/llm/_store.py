@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +36,68 @@ def saved(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_of(spark: SparkSession, path: str):
+    """The store's file system and its class of paths."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark._jsc.hadoopConfiguration()), kind
+
+
+def create_once(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Make a small file with all its content at once; False, and nothing changed, if the path exists.
+
+    The content is written beside under a name of its own and given the path by a link (mounted disks) or by a rename
+    that doesn't overwrite (other stores; atomic where the store's renames are, as in HDFS). A driver lost on the way
+    leaves a hidden file that nobody reads, never a part of the file or a claim on the path.
+    """
+    fs, kind = store_of(spark, path)
+    beside = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    fs.mkdirs(kind(path).getParent())
+    if fs.getUri().getScheme() == "file":
+        here, there = (urllib.parse.unquote(urllib.parse.urlparse(kind(x).toUri().toString()).path) for x in (beside, path))
+        with open(here, "wb") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            os.link(here, there)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(here)
+        return True
+    out = fs.create(kind(beside), False)
+    out.write(bytearray(content))
+    out.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    try:
+        none = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 0)
+        jvm.FileContext.getFileContext(kind(path).toUri(), spark._jsc.hadoopConfiguration()).rename(kind(beside), kind(path), none)
+    except Exception:
+        fs.delete(kind(beside), False)
+        if fs.exists(kind(path)):
+            return False
+        raise
+    return True
+
+
+def file_text(spark: SparkSession, path: str) -> str:
+    fs, kind = store_of(spark, path)
+    stream = fs.open(kind(path))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "utf-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder but hidden files, ascending; none if there is no folder."""
+    fs, kind = store_of(spark, path)
+    if not fs.exists(kind(path)):
+        return []
+    found = (f.getPath().getName() for f in fs.listStatus(kind(path)))
+    return sorted(n for n in found if n[0] not in "._")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     hadoop = spark._jvm.org.apache.hadoop.fs

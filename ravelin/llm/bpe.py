@@ -130,13 +130,15 @@ class Known:
 class ForcedBoundaryBPE:
     """Encoder and decoder over one vocabulary file of the tokenizers library (byte-level BPE)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """``plain`` reads the strings of special tokens in a text as ordinary text."""
         from tokenizers import Tokenizer
 
         self.path = path
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        self.whole.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if (spec.get("decoder") or {}).get("type") != "ByteLevel":
@@ -265,13 +267,13 @@ def _provable(spec: dict) -> bool:
 
 
 @cache
-def tokenizer(path: str) -> ForcedBoundaryBPE:
-    """One per worker process.
+def tokenizer(path: str, plain: bool = False) -> ForcedBoundaryBPE:
+    """One of each kind per worker process.
 
     Spark already runs a worker for each core, so the library must not start threads of its own.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ForcedBoundaryBPE(path)
+    return ForcedBoundaryBPE(path, plain)
 
 
 def _text_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -298,6 +300,29 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return _text_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def count_ids(docs: DataFrame, path: str, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the columns ``keep``, text_sha256, n_tokens and n_plain (with the strings of special tokens read as ordinary text) of whole texts."""
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c) for c in keep], F.col(text_col).cast("string").cast("binary").alias("text"))
+    held = [f for f in cols.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual, plain = tokenizer(path), tokenizer(path, True)
+        special = [t.content.encode() for t in usual.whole.get_added_tokens_decoder().values()]
+        for batch in batches:
+            for i, j, texts in text_steps(batch):
+                n = np.diff(usual.ids(texts)[1])
+                other = n.copy()
+                # the two differ only in texts that hold such a string
+                odd = [k for k, t in enumerate(texts) if any(s in t for s in special)]
+                other[odd] = np.diff(plain.ids([texts[k] for k in odd])[1]) if odd else 0
+                own = [batch.column(c).slice(i, j - i) for c in range(len(held))]
+                sha = pa.array([hashlib.sha256(t).hexdigest() for t in texts])
+                yield pa.RecordBatch.from_arrays([*own, sha, pa.array(n, pa.int64()), pa.array(other, pa.int64())], names=[*(f.name for f in held), "text_sha256", "n_tokens", "n_plain"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held)
+    return cols.mapInArrow(run, f"{schema}, text_sha256 string, n_tokens long, n_plain long")
+
+
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
     """doc_id, n_tokens and the ids as packed little-endian integers of the vocabulary's width (2 or 4 bytes).
 

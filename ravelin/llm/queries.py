@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import _native, _store, bpe, decontamination, html_text, near_duplicates, quality_rules, secrets, shards, substring_dedup, token_counts, token_files
+from ravelin.llm import _graph, _store, bpe, decontamination, html_text, near_duplicates, quality_rules, secrets, shards, substring_dedup, token_counts, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,22 +21,26 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents, each sent twice: inserts by two tokenizer versions, a revision of the first
-    (the sum of both counts), and deletes of the later copies of equal texts under both."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    """Tokens of the vocabulary under two tokenizer versions: special tokens' strings as tokens (``special``) and as text (``plain``).
+
+    Four batches over all documents, each sent twice: inserts under both versions, a revision of the first (every document
+    gets an end token), and deletes under both of the later copies of equal texts: rows whose doc_id is greater
+    than the smallest one with that text. A row without doc_id is never taken for a copy. The totals are read from
+    a base that the batches are folded into.
+    """
+    docs = table(spark, sf_dir, "documents")
     folder = _store.shared_dir(spark)
-    spaced = F.size(_native.words(F.col("text"))).cast("long")
-    bare = F.size(_native.words(F.col("text"), decontamination.GAP)).cast("long")
-    counted = docs.select("doc_id", "source", "lang", spaced.alias("spaced"), bare.alias("bare"), F.sha2("text", 256).alias("sha"))
-    counted = _store.saved(counted, folder, "counted")
-    first = counted.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first")
-    later = counted.join(first, "sha").where(F.col("doc_id") > F.col("first"))
+    counted = _store.saved(bpe.count_ids(docs, bpe.default_vocabulary(), ("source", "lang")), folder, "counted")
+    same = _graph.beside_group(counted.where("doc_id is not null"), ["text_sha256"], ["doc_id"], first=("min", "doc_id"))
+    later = same.where(F.col("doc_id") > F.col("first"))
+    n, end, plain = F.col("n_tokens"), F.col("n_tokens") + 1, F.col("n_plain")
     rollup = token_counts.Rollup(spark, f"{folder}/rollup")
     for _ in range(2):
-        rollup.apply("1-spaced", token_counts.changes(counted, "insert", "spaced", F.col("spaced")))
-        rollup.apply("2-bare", token_counts.changes(counted, "insert", "bare", F.col("bare")))
-        rollup.apply("3-revised", token_counts.changes(counted, "revise", "spaced", F.col("bare") + F.col("spaced"), F.col("spaced")))
-        rollup.apply("4-copies", token_counts.changes(later, "delete", "spaced", F.col("bare") + F.col("spaced")).union(token_counts.changes(later, "delete", "bare", F.col("bare"))))
+        rollup.apply("1-special", token_counts.changes(counted, "insert", "special", n))
+        rollup.apply("2-plain", token_counts.changes(counted, "insert", "plain", plain))
+        rollup.apply("3-end-token", token_counts.changes(counted, "revise", "special", end, n))
+        rollup.apply("4-copies", token_counts.changes(later, "delete", "special", end).union(token_counts.changes(later, "delete", "plain", plain)))
+    rollup.fold()
     return rollup.totals()
 
 
@@ -44,13 +48,18 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+#: Arrivals that op8_shards makes of the documents.
+ARRIVALS = 8
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive as small shards, are compacted and read back from the newest manifest."""
+    """All documents arrive in eight batches as small shards, are compacted and read back from the newest manifest; ``compacted`` tells that fewer shards are left than arrived."""
     store = shards.ShardStore(spark, f"{_store.shared_dir(spark)}/shards")
-    store.append(table(spark, sf_dir, "documents"))
-    store.compact()
+    arrived = store.append_each(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    left = store.compact()
     store.vacuum()
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    fewer = len(left["shards"]) < len(arrived[-1]["shards"]) if arrived else False
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.lit(fewer).alias("compacted"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,15 +85,6 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op3_token_counts, op4_main_text, op5_secrets, op6_quality_rules, op7_substring_dedup, op8_shards, op9_token_files, op10_decontamination)}
-WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
-BARE = r"list_filter(string_split_regex(coalesce(text, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 ORACLE_SQL: dict[str, str] = {
-    "op3_token_counts": f"""
-        with c as (select source, lang, len({WORDS}) as spaced, len({BARE}) as bare, doc_id, min(doc_id) over (partition by coalesce(text, '')) as first from documents),
-        k as (select * from c where doc_id = first)
-        select source, lang, 'spaced' as tokenizer, cast(count(*) as bigint) as docs, cast(sum(spaced + bare) as bigint) as tokens from k group by all
-        union all
-        select source, lang, 'bare', cast(count(*) as bigint), cast(sum(bare) as bigint) from k group by all
-    """,
-    "op8_shards": "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256 from documents",
+    "op8_shards": "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256, true as compacted from documents",
 }

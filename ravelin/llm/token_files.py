@@ -76,8 +76,8 @@ def write(encoded: DataFrame, folder: str, kind: str, cuts: list[int], null_part
         held = F.element_at(F.lit([times[c] for c in distinct]), F.least(at + 1, F.lit(len(distinct))))
         same = F.element_at(F.lit(distinct), F.least(at + 1, F.lit(len(distinct)))) == F.col("doc_id")
         own = F.element_at(F.lit(below), at + 1) + F.when(same & (held > 1), F.pmod(F.xxhash64("ids"), held)).otherwise(0)
-    null_parts, most = max(null_parts, 1), PART_IDS
-    part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("ids"), F.lit(null_parts))).otherwise(null_parts + own)
+    most = PART_IDS
+    part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("ids"), F.lit(max(null_parts, 1)))).otherwise(null_parts + own)
     rows = (
         encoded.select(part.cast("int").alias("part"), "doc_id", "n_tokens", "ids")
         .repartitionById(null_parts + len(cuts) + 1, F.col("part"))

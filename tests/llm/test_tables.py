@@ -1,14 +1,16 @@
+import collections
 import hashlib
 import re
 import time
 from html import unescape
 
 import corpus_pipeline
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ravelin.llm import html_text, token_counts
+from ravelin.llm import _store, bpe, html_text, queries, shards, token_counts
 from ravelin.llm.shards import ShardStore
 
 PAGE = """<html><head><title>x</title></head><body><header class="top"><h1>Site</h1></header><nav><a href="/">home</a></nav>
@@ -114,20 +116,106 @@ def test_repeated_rows_and_clashing_columns(spark):
     assert got == [(1, "u", BODY, len(BODY))] * 2 + [(None, None, "", 0)]
 
 
-def test_rollup_is_idempotent(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "s", "en", 3), (2, "s", "en", None), (3, None, "de", 4)], "doc_id long, source string, lang string, n long")
+class Lost(Exception):
+    pass
+
+
+def lose_at(monkeypatch, module, name, after=False):
+    """The next call of a module's function ends the driver, before or after it took effect."""
+    real = getattr(module, name)
+
+    def once(*a, **k):
+        monkeypatch.setattr(module, name, real)
+        if after:
+            real(*a, **k)
+        raise Lost
+
+    monkeypatch.setattr(module, name, once)
+
+
+def counted(spark):
+    return spark.createDataFrame([(1, "s", "en", 3, "x"), (2, "s", "en", None, "x"), (3, None, "de", 4, "x")], "doc_id long, source string, lang string, n long, tokens string")
+
+
+def test_rollup_is_idempotent(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "FOLD", 3)
+    monkeypatch.setattr(token_counts, "SEGMENT", 2)
+    docs = counted(spark)
     folder = f"file://{tmp_path}/r"
     roll = token_counts.Rollup(spark, folder)
-    assert roll.totals().count() == 0
+    assert roll.totals().count() == 0 and roll.fold() == 0
     put = lambda name, op, df, **k: roll.apply(name, token_counts.changes(df, op, "v1", F.col("n"), **k))
     assert put("a", "insert", docs) and not put("a", "insert", docs)
-    assert put("b", "revise", docs.where("doc_id = 1").withColumn("n", F.lit(10)), old=F.lit(3))
-    assert not token_counts.Rollup(spark, folder).apply("b", token_counts.changes(docs, "insert", "v1", F.col("n")))
-    assert sorted(map(tuple, roll.totals().collect()), key=repr) == [("s", "en", "v1", 2, 10), (None, "de", "v1", 1, 4)]
+    assert put("../b' %/", "revise", docs.where("doc_id = 1").withColumn("n", F.lit(10)), old=F.lit(3))
+    assert not token_counts.Rollup(spark, folder).apply("../b' %/", token_counts.changes(docs, "insert", "v1", F.col("n")))
+    want = [("s", "en", "v1", 2, 10), (None, "de", "v1", 1, 4)]
+    assert sorted(map(tuple, roll.totals().collect()), key=repr) == want
+    for k in range(9):
+        assert put(f"more {k}", "insert", docs) and not put("a", "insert", docs)
+    assert roll._base()["version"] >= 9 and len(roll._tail(roll._base())) < 3
+    for k in range(9):
+        assert put(f"less {k}", "delete", docs) and not put(f"more {k}", "insert", docs)
+    assert sorted(map(tuple, roll.totals().collect()), key=repr) == want
     assert put("c", "delete", docs.where("doc_id = 3")) and put("d", "insert", docs.limit(0))
     assert list(map(tuple, roll.totals().collect())) == [("s", "en", "v1", 2, 10)]
 
 
+def test_rollup_after_lost_drivers(spark, tmp_path, monkeypatch):
+    docs, n = counted(spark), 0
+    roll = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    for after in (False, True):
+        for name in ("_summed", "create_once"):
+            n += 1
+            lose_at(monkeypatch, token_counts, name, after)
+            with pytest.raises(Lost):
+                roll.apply(f"b{n}", token_counts.changes(docs, "insert", "v1", F.col("n")))
+            taken = after and name == "create_once"
+            assert roll.apply(f"b{n}", token_counts.changes(docs, "insert", "v1", F.col("n"))) != taken
+        # between the totals of a base and its name
+        lose_at(monkeypatch, token_counts, "create_once", after)
+        with pytest.raises(Lost):
+            roll.fold()
+        assert sorted(map(tuple, roll.totals().collect()), key=repr) == [("s", "en", "v1", 2 * n, 3 * n), (None, "de", "v1", n, 4 * n)]
+
+
+def test_two_drivers_commit_a_batch_once(spark, tmp_path, monkeypatch):
+    roll = token_counts.Rollup(spark, f"file://{tmp_path}/r")
+    signed = token_counts.changes(counted(spark), "insert", "v1", F.col("n"))
+    real = token_counts.create_once
+
+    def late(spark_, path, content):
+        # the other driver commits the same batch, and one of its own, just before
+        monkeypatch.setattr(token_counts, "create_once", real)
+        assert token_counts.Rollup(spark, roll.folder).apply("other", signed) and token_counts.Rollup(spark, roll.folder).apply("a", signed)
+        return real(spark_, path, content)
+
+    monkeypatch.setattr(token_counts, "create_once", late)
+    assert not roll.apply("a", signed)
+    assert {r.docs for r in roll.totals().collect()} == {4, 2}
+
+
+def test_token_counts_query_as_the_library(spark, tmp_path):
+    """Totals of op3 by the library, with special tokens in a text, copies, nulls and texts of a hot group."""
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = [(900_000 + k, "same text <|endoftext|> here", "en", "s", 0) for k in range(300)] + [(None, "same text <|endoftext|> here", None, None, None), (7, None, None, "s", None)]
+    base.unionByName(spark.createDataFrame(more, base.select("doc_id", "text", "lang", "source", "n_chars").schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    whole = bpe.tokenizer(bpe.default_vocabulary()).whole
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    first, want = {}, collections.Counter()
+    for r in rows:
+        if r.doc_id is not None:
+            first[r.text or ""] = min(first.get(r.text or "", r.doc_id), r.doc_id)
+    for r in rows:
+        if r.doc_id is None or r.doc_id == first[r.text or ""]:
+            for version, plain in (("special", False), ("plain", True)):
+                whole.encode_special_tokens = plain
+                want[r.source, r.lang, version, "docs"] += 1
+                want[r.source, r.lang, version, "tokens"] += len(whole.encode(r.text or "", add_special_tokens=False).ids) + (not plain)
+    whole.encode_special_tokens = False
+    got = {(r.source, r.lang, r.tokenizer, c): r[c] for r in queries.op3_token_counts(spark, str(tmp_path)).collect() for c in ("docs", "tokens")}
+    assert got == {k: v for k, v in want.items() if v or want[(*k[:3], "docs")]}
+
+
 def test_shards(spark, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/s", target=400_000, fanout=4)
     df = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("file"), F.lit(None).cast("int").alias("bytes"))
@@ -136,12 +224,88 @@ def test_shards(spark, tmp_path):
     before = store.manifest()
     assert len(before["shards"]) == 18 and before["version"] == 9
     after = store.compact()
-    assert after["version"] == 10 and len(after["shards"]) < 18
-    assert store.compact()["version"] >= 10
+    assert after["version"] >= 10 and len(after["shards"]) < 18
+    # nothing is left to merge, also among what was merged
+    assert store.compact() == after and all(len(x) < 4 for x in store.tiers().values())
     assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, df.collect()))
     assert store.read(9).count() == 20_000
     assert store.vacuum() >= 18 and store.read().count() == 20_000
     assert store.append(df.limit(0))["version"] > 10 and store.read().count() == 20_000
+    store.append(df.limit(5)), store.append(df.limit(5))
+    assert store.read().count() == 20_010
+
+
+def test_shards_of_many_arrivals(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    df = spark.range(1000).selectExpr("id", "id % 7 as arrival", "cast(null as string) as x").repartition(3)
+    made = store.append_each(df, F.col("id") % 5)
+    assert [m["version"] for m in made] == [1, 2, 3, 4, 5] and store.read(2).count() == 400
+    assert len(store.compact()["shards"]) == 1 and sorted(store.read().columns) == ["arrival", "id", "x"]
+    assert sorted(r.id for r in store.read().collect()) == list(range(1000))
+    other = ShardStore(spark, f"file://{tmp_path}/empty")
+    assert other.append_each(df.limit(0), F.col("id"))[0]["version"] == 1 and other.read().count() == 0 and other.compact()["version"] == 1
+    got = queries.op8_shards(spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and got.where("not compacted").count() == 0
+
+
+def test_no_column_of_a_shard_is_lost(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fanout=2)
+    store.append(spark.createDataFrame([(1, "a")], "id long, text string"))
+    store.append(spark.createDataFrame([(2,)], "id long"))
+    store.append(spark.createDataFrame([(3, 0.5)], "id long, score double"))
+    want = [(1, "a", None), (2, None, None), (3, None, 0.5)]
+    for _ in range(2):
+        assert sorted(map(tuple, store.read().select("id", "text", "score").collect())) == want
+        store.compact()
+        store.vacuum()
+    assert len(store.manifest()["shards"]) == 1
+    for bad in ("id string", "ID long"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], bad))
+    assert sorted(map(tuple, store.read().select("id", "text", "score").collect())) == want
+
+
+def test_shards_after_lost_and_other_writers(spark, tmp_path, monkeypatch):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fanout=3)
+    df = spark.range(10).select("id").coalesce(1)
+    for after in (False, True):
+        lose_at(monkeypatch, shards, "create_once", after)
+        with pytest.raises(Lost):
+            store.append(df)
+        assert store.append(df)["version"] == store.manifest()["version"]
+    assert store.read().count() == 30
+    lose_at(monkeypatch, shards, "create_once")
+    with pytest.raises(Lost):
+        store.compact()
+    assert store.read().count() == 30
+    real = shards.create_once
+
+    def late(spark_, path, content):
+        monkeypatch.setattr(shards, "create_once", real)
+        ShardStore(spark, store.folder, fanout=3).append(df)
+        return real(spark_, path, content)
+
+    # another writer appends while shards are merged, and while another arrival is appended
+    monkeypatch.setattr(shards, "create_once", late)
+    assert len(store.compact()["shards"]) == 2 and store.read().count() == 40
+    monkeypatch.setattr(shards, "create_once", late)
+    store.append(df)
+    assert store.read().count() == 60
+
+    def merged(spark_, path, content):
+        monkeypatch.setattr(shards, "create_once", real)
+        ShardStore(spark, store.folder, fanout=3).compact()
+        return real(spark_, path, content)
+
+    # another writer merges the same shards
+    monkeypatch.setattr(shards, "create_once", merged)
+    assert len(store.compact()["shards"]) < 4 and store.read().count() == 60 and store.vacuum() > 0 and store.read().count() == 60
+
+
+def test_a_file_is_made_once(spark, tmp_path):
+    at = f"file://{tmp_path}/a/b"
+    assert _store.create_once(spark, at, b"one") and not _store.create_once(spark, at, b"two")
+    assert _store.file_text(spark, at) == "one" and _store.names_in(spark, f"file://{tmp_path}/a") == ["b"] and _store.names_in(spark, at + "/none") == []
 
 
 def test_pipeline(spark):
