@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm._native import let
+from ravelin.llm._native import let, part, pieces, scan
 from ravelin.llm._store import saved, shared_dir
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,24 +35,24 @@ KINDS = ("assign", "access", "hex", "live")
 LIVE_OWNERS = 1
 
 
+NONE = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<(start, kind, end, value)> of the matches of a pattern, leftmost and non-overlapping; code points."""
 
-    def place(pieces: Column, found: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
+    def place(between: Column, found: Column) -> Column:
+        steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda p, v: F.struct(F.char_length(p).alias("gap"), F.char_length(v).alias("n"), v.alias("value")))
 
-        def add(s: Column, x: Column) -> Column:
-            begin = s["at"] + F.char_length(x["piece"])
-            end = begin + F.char_length(x["value"])
-            span = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value")))
-            good = keep(x["value"]) if keep else F.lit(True)
-            return F.struct(end.alias("at"), F.when(good, F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
+        def spans(x: Column) -> Column:
+            begin = scan(F.transform(x, lambda y: y["gap"] + y["n"]), lambda a, b: a + b)
+            return F.zip_with(x, begin, lambda y, at: F.struct((at + y["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + y["gap"] + y["n"]).alias("end"), y["value"].alias("value")))
 
-        pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
-        return F.aggregate(pairs, start, add, lambda s: s["out"])
+        out = let(steps, spans)
+        return F.filter(out, lambda x: keep(x["value"])) if keep else out
 
     both = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: place(p, v)))
-    return F.when(F.regexp_like(text, F.lit(pattern)), both).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), both).otherwise(F.array().cast(NONE))
 
 
 def base_spans(text: Column) -> Column:
@@ -72,15 +72,32 @@ def _mixed(v: Column) -> Column:
     return v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
 
 
-NONE = "array<struct<start:int,kind:int,end:int,value:string>>"
+def _apart(base: Column, more: Column) -> Column:
+    """The candidates that overlap no base span, by one pass over both in order.
+
+    Candidates don't overlap each other, so one overlaps a base span that starts before it if the farthest end so far
+    lies beyond its start, and one that starts later only if that is next to it.
+    """
+
+    def free(s: Column) -> Column:
+        def judged(far: Column) -> Column:
+            def of(x: Column, i: Column) -> Column:
+                nxt = F.get(s, i + 1)
+                ok = (x["kind"] == 3) & (F.get(far, i) <= x["start"]) & F.coalesce((nxt["kind"] == 3) | (nxt["start"] >= x["end"]), F.lit(True))
+                return F.struct(ok.alias("ok"), x.alias("x"))
+
+            return F.transform(F.filter(F.transform(s, of), lambda y: y["ok"]), lambda y: y["x"])
+
+        return let(scan(F.transform(s, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), F.greatest), judged)
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(let(F.array_sort(F.concat(base, more)), free))
 
 
 def _found(text: Column) -> Column:
     """Struct of a text's base spans and of the candidates apart from them."""
 
     def both(base: Column) -> Column:
-        apart = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.struct(base.alias("base"), F.filter(_spans(text, TOKEN, 3, _mixed), apart).alias("more"))
+        return F.struct(base.alias("base"), let(_spans(text, TOKEN, 3, _mixed), lambda more: _apart(base, more)).alias("more"))
 
     return let(base_spans(text), both)
 
@@ -133,39 +150,51 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 
 
 def _redacted(text: Column, spans: Column, mask: str) -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with its ascending spans replaced; one that begins inside an earlier one only moves its end."""
+
+    def masked(s: Column) -> Column:
+        def joined(far: Column) -> Column:
+            def cut(c: Column) -> Column:
+                held = F.transform(s, lambda x, i: F.when(x["start"] >= F.get(far, i), F.concat(part(c, F.get(far, i), x["start"]), F.lit(mask))))
+                end = F.greatest(F.get(far, F.size(s) - 1), F.get(s, F.size(s) - 1)["end"])
+                return F.concat(F.array_join(held, ""), part(c, end, F.char_length(text)))
+
+            return let(pieces(text), cut)
 
-    def add(s: Column, x: Column) -> Column:
-        piece = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))
-        # a span that begins inside the last one only moves its end
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], piece).otherwise(s["out"]).alias("out"))
+        return let(scan(F.transform(s, lambda x: x["end"]), F.greatest), joined)
 
-    return F.aggregate(spans, start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text) - s["at"])))
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, masked))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str | None = None, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every base span and live-looking candidate in the text replaced by ``mask``; null texts stay null.
 
-    Texts without a bare candidate are redacted where they are; only the others meet the corpus-wide counts, by text.
-    The counts are those of report(): base spans and bare candidates together, by the credential.
+    One scan of the texts writes them with their spans. Texts without a bare candidate are redacted as they are read
+    again; only the others meet the corpus-wide counts, by text. The counts are those of report(): base spans
+    and bare candidates together, by the credential.
     """
-    taken = set(docs.columns)
-    names = {}
-    for x in ("f", "sha", "added"):
-        names[x] = f"__{x}"
-        while names[x] in taken:
-            names[x] += "_"
-    f, sha, added = names["f"], names["sha"], names["added"]
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for x in ("base", "more", "sha", "owner", "nobody", "repository", "added"):
+        while x in taken:
+            x += "_"
+        taken.add(x)
+        names.append(x)
+    base, more, sha, owner, nobody, repository, added = names
     text = F.col(text_col)
-    found = docs.withColumn(f, _found(F.coalesce(text, F.lit(""))))
-    some = found.where(F.size(F.col(f)["more"]) > 0).withColumn(sha, F.sha2(text, 256))
+    held = [c.alias(n) for c, n in zip(_owned(docs, owner_col, repository_col, id_col), (owner, nobody, repository))]
+    found = docs.select("*", *held, _found(F.coalesce(text, F.lit(""))).alias(base))
+    found = found.select(*docs.columns, owner, nobody, repository, F.col(base)["base"].alias(base), F.col(base)["more"].alias(more))
+    found = found.withColumn(sha, F.when(F.size(more) > 0, F.sha2(text, 256)))
+    found = saved(found, shared_dir(docs.sparkSession), "redact")
     # base spans count as owners' occurrences, as in report(); only bare candidates add masks
-    held = found.where((F.size(F.col(f)["base"]) > 0) | (F.size(F.col(f)["more"]) > 0))
-    cand = held.select(*_owned(docs, owner_col, repository_col, id_col), F.sha2(text, 256).alias("sha"), F.explode(F.concat(F.col(f)["base"], F.col(f)["more"])).alias("c"))
+    cand = found.where((F.size(base) > 0) | (F.size(more) > 0)).select(F.col(owner).alias("owner"), F.col(nobody).alias("nobody"), F.col(repository).alias("repository"), F.col(sha).alias("sha"), F.explode(F.concat(base, more)).alias("c"))
     cand = cand.withColumn("hash", F.sha2(_secret(F.col("c")), 256))
-    live = cand.where(F.col("c.kind") == 3).join(ownership(cand).where("live").select("hash"), "hash", "left_semi")
-    per = live.groupBy(F.col("sha").alias(sha)).agg(F.collect_set("c").alias(added))
-    spans = F.array_sort(F.concat(F.col(f)["base"], F.coalesce(F.col(added), F.array().cast(NONE))))
-    plain = found.where(F.size(F.col(f)["more"]) == 0).withColumn(text_col, F.when(F.size(F.col(f)["base"]) > 0, _redacted(text, F.col(f)["base"], mask)).otherwise(text))
-    other = some.join(per, sha, "left").withColumn(text_col, _redacted(text, spans, mask))
+    # a text that very many rows repeat, and a credential that very many texts hold, come as one row each
+    bare = cand.where(F.col("c.kind") == 3).select("hash", "sha", "c").distinct()
+    live = bare.join(ownership(cand).where("live").select("hash"), "hash", "left_semi")
+    per = live.groupBy(F.col("sha").alias("of")).agg(F.collect_list("c").alias(added))
+    plain = found.where(F.size(more) == 0).withColumn(text_col, _redacted(text, F.col(base), mask))
+    some = found.where(F.size(more) > 0)
+    other = some.join(per, F.col(sha) == F.col("of"), "left").withColumn(text_col, _redacted(text, F.array_sort(F.concat(base, F.coalesce(added, F.array().cast(NONE)))), mask))
     return plain.select(*docs.columns).unionByName(other.select(*docs.columns))

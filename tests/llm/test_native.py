@@ -1,10 +1,13 @@
 import collections
 import hashlib
+import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from ravelin.llm import decontamination, quality_rules, secrets
+from ravelin.llm import _native, decontamination, quality_rules, secrets
 
 
 def sha(s):
@@ -126,3 +129,67 @@ def test_an_owners_copies_stay_live(spark):
     got = {r.doc_id: (r.spans, r.n_live) for r in secrets.report(df).collect()}
     assert got == {k: (f"live:{t.index(LIVE)}:{t.index(LIVE) + len(LIVE)}", 1) if s == "hot" else ("", 0) for k, t, s in texts}
     assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {k: t.replace(LIVE, "[SECRET]") for k, t, _ in texts}
+
+
+def test_scans(spark):
+    for n in (0, 1, 2, 3, 10, 99, 100, 101):
+        x = [(k * 7) % 11 for k in range(n)]
+        df = spark.createDataFrame([(x,)], "x array<int>")
+        got = df.select(_native.scan(F.col("x"), lambda a, b: a + b).alias("s"), _native.scan(F.col("x"), F.greatest).alias("m")).first()
+        assert got.s == [sum(x[:k]) for k in range(n)] and got.m == [max([0, *x[:k]]) for k in range(n)]
+    text = "".join(chr(97 + k % 26) if k % 5 else "é😀"[k % 2] for k in range(1500))
+    cuts = [(0, 0), (0, 1), (0, 512), (511, 513), (512, 512), (512, 1024), (3, 1500), (1499, 1500), (1500, 1500)]
+    df = spark.createDataFrame([(text, a, b) for a, b in cuts], "t string, a int, b int")
+    assert [r.p for r in df.select(_native.part(_native.pieces(F.col("t")), F.col("a"), F.col("b")).alias("p")).collect()] == [text[a:b] for a, b in cuts]
+
+
+def live_spans(rows):
+    """Brute force of the spans beyond the base ones: (doc_id, text, owner) -> spans by row."""
+    found, owners = [], collections.defaultdict(set)
+    for _, t, owner in rows:
+        t = t or ""
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base(t).split(",") if x]
+        own = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+        own = [s for s in own if not any(a < s[1] and s[0] < b for a, b in taken)]
+        for x in base(t).split(","):
+            if x:
+                kind, a, b = x.split(":")
+                v = t[int(a) : int(b)]
+                v = re.search(r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", v)[1] if kind == "assign" else v
+                owners[v].add(owner)
+        for a, b in own:
+            owners[t[a:b]].add(owner)
+        found.append(own)
+    return [[f"live:{a}:{b}" for a, b in own if len(owners[(t or "")[a:b]]) == 1] for own, (_, t, _) in zip(found, rows)]
+
+
+def with_live(rows):
+    order = lambda x: (int(x.split(":")[1]), secrets.KINDS.index(x.split(":")[0]))
+    return [",".join(sorted([*filter(None, base(t).split(",")), *more], key=order)) for (_, t, _), more in zip(rows, live_spans(rows))]
+
+
+def test_all_spans_and_masks_as_brute_force(spark):
+    r = random.Random(6)
+    keys_ = ["".join(r.choices("abcXYZ0189+/_", k=r.randint(20, 40))) for _ in range(12)]
+    bits = [*keys_, "token=", "secret: ", "AKIA" + "B7" * 9, "deadbeef" * 3, " ", " ", "é😀", "\n", ".", "password='", "plain words", '"']
+    rows = [(k, "".join(r.choice(bits) for _ in range(r.randint(0, 40))) if k % 9 else None, r.choice(["a", "b", None])) for k in range(300)]
+    rows += rows[:40]
+    df = spark.createDataFrame([(*x, "x") for x in rows], "doc_id long, text string, source string, base string").repartition(3)
+    want = dict(zip([x[0] for x in rows], with_live(rows)))
+    got = {x.doc_id: x.spans for x in secrets.report(df).collect()}
+    assert got == want and any("live" in x for x in got.values())
+    back = collections.Counter(map(tuple, secrets.redact(df).collect()))
+    assert back == collections.Counter((d, t if t is None else masked(t, want[d]), o, "x") for d, t, o in rows)
+
+
+def test_very_many_spans_take_time_in_proportion(spark):
+    def seconds(n):
+        text = " ".join(f"{k:016x} token=Ab1{k:017d}" for k in range(n // 2))
+        df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+        began = time.time()
+        assert secrets.report(df).first().n_hex >= n // 2
+        assert secrets.redact(df).first().text.count("[SECRET]") == n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(32_000) < 6 * max(seconds(8_000), 1.5)
