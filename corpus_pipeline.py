@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import bpe, decontamination, near_duplicates, quality_rules, secrets
+from ravelin.llm._store import remove, saved, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Each stage's rows are written once to the shared folder and read again by the next; the last one's are returned as planned."""
+    docs, folder, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark), None
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), folder, name)
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
+    return STAGES[-1][1](spark, docs, sf_dir)
