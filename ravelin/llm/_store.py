@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import urllib.parse
 import uuid
@@ -19,14 +21,30 @@ STEP_BYTES = 1 << 18
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent (tests on one machine) a temporary folder takes its place, which goes when the
+    driver ends. Results are read from such folders, so those on a cluster stay until release() takes them away.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='ravelin-')}"
-    return f"{base.rstrip('/')}/ravelin-{uuid.uuid4().hex}"
+        base = tempfile.mkdtemp(prefix="ravelin-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        base = f"file://{base}"
+    _made.append(f"{base.rstrip('/')}/ravelin-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Folders this driver was given.
+_made: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every folder that shared_dir() gave this driver; for use when no result is read any more."""
+    n = len(_made)
+    while _made:
+        remove(spark, _made.pop())
+    return n
 
 
 def saved(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -53,9 +53,15 @@ ARRIVALS = 8
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive in eight batches as small shards, are compacted and read back from the newest manifest; ``compacted`` tells that fewer shards are left than arrived."""
+    """All documents arrive in eight batches as small shards, are compacted and read back from the newest manifest; ``compacted`` tells that fewer shards are left than arrived.
+
+    A batch is what every eighth partition of the table holds, so a task writes one shard. A table of fewer files than
+    batches is dealt by doc_id as well.
+    """
+    docs = table(spark, sf_dir, "documents")
     store = shards.ShardStore(spark, f"{_store.shared_dir(spark)}/shards")
-    arrived = store.append_each(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    split = -(-ARRIVALS // max(1, len(docs.inputFiles())))
+    arrived = store.append_each(docs, F.pmod(F.spark_partition_id() + F.pmod(F.xxhash64("doc_id"), F.lit(split)), F.lit(ARRIVALS)))
     left = store.compact()
     store.vacuum()
     fewer = len(left["shards"]) < len(arrived[-1]["shards"]) if arrived else False

@@ -6,11 +6,13 @@ from html import unescape
 
 import corpus_pipeline
 import pytest
+import test_dedup
+import test_native
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ravelin.llm import _store, bpe, html_text, queries, shards, token_counts
+from ravelin.llm import _store, bpe, html_text, quality_rules, queries, shards, token_counts
 from ravelin.llm.shards import ShardStore
 
 PAGE = """<html><head><title>x</title></head><body><header class="top"><h1>Site</h1></header><nav><a href="/">home</a></nav>
@@ -308,10 +310,26 @@ def test_a_file_is_made_once(spark, tmp_path):
     assert _store.file_text(spark, at) == "one" and _store.names_in(spark, f"file://{tmp_path}/a") == ["b"] and _store.names_in(spark, at + "/none") == []
 
 
+def chain(rows, items):
+    """Brute force of all five stages over (doc_id, text, source): what is left with its masked text."""
+    out = []
+    for d, t, source in rows:
+        n_words, chars, symbols, dup, _, failed = test_native.measure(t)
+        w, lines = re.findall(r"[^\x20\x09-\x0D]+", t or ""), [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        stops = sum(x in quality_rules.STOP_WORDS or x in [v.capitalize() for v in quality_rules.STOP_WORDS] for x in w)
+        if not failed and 2 <= chars / n_words <= 14 and symbols / n_words <= 0.25 and (stops + 3) / n_words >= 0.03 and dup / len(lines) <= 0.5:
+            out.append((d, t, source))
+    kept = {r[0] for r in test_dedup.groups([(d, t) for d, t, _ in out], 5, 80) if r[3]}
+    out = [r for r in out if r[0] in kept]
+    bad = {r[0] for r in test_native.judged([(d, t) for d, t, _ in out], items) if r[5]}
+    out = [r for r in out if r[0] not in bad]
+    return {d: test_native.masked(t, spans) for (d, t, _), spans in zip(out, test_native.with_live(out))}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    seen = [docs.count()]
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs, seen = table, [table.count()]
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         if name != "bpe":
@@ -319,11 +337,17 @@ def test_pipeline(spark):
             docs = out
         seen.append(out.count())
     assert seen == sorted(seen, reverse=True) and seen[-1] > 0
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, corpus_pipeline.encode(spark, docs, sf).collect()))
-    decoded = {x.doc_id: x.decoded_sha256 for x in out.collect()}
-    for r in docs.collect():
-        assert r.n_chars == len(r.text)
-        assert decoded[r.doc_id] == hashlib.sha256(r.text.encode()).hexdigest()
+    assert all(r.n_chars == len(r.text) for r in docs.collect())
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    want = chain([tuple(r) for r in table.select("doc_id", "text", "source").collect()], items)
+    whole = bpe.tokenizer(bpe.default_vocabulary()).whole
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    digests = {}
+    for d, t in want.items():
+        ids = whole.encode(t, add_special_tokens=False).ids
+        digests[d] = (d, len(ids), sha(",".join(map(str, ids))), sha(t))
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(digests.values())
 
 
 def test_stages_take_nulls_repeats_and_empty_tables(spark):
