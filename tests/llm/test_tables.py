@@ -250,6 +250,13 @@ def test_shards_of_many_arrivals(spark, tmp_path):
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and got.where("not compacted").count() == 0
 
 
+def test_a_merge_that_wins_nothing_ends(spark, tmp_path, monkeypatch):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fanout=3)
+    store.append(spark.range(100).repartition(5))
+    monkeypatch.setattr(store, "_merged", lambda run, m: store._written(store.read().repartition(9)))
+    assert store.compact()["version"] == 1 and store.read().count() == 100 and len(store.manifest()["shards"]) == 5
+
+
 def test_no_column_of_a_shard_is_lost(spark, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/s", fanout=2)
     store.append(spark.createDataFrame([(1, "a")], "id long, text string"))
