@@ -31,6 +31,13 @@ def beside_group(rows: DataFrame, keys: list[str], by: list[str], **made: tuple[
     return dealt.join(spread, [*keys, "salt"]).drop("salt")
 
 
+def beside_rows(rows: DataFrame, keys: list[str], by: list[str], table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) to the rows of a table with the same key, where no task gets all rows of a key: dealt as in beside_group, and what the table has for a key goes to each salt that is there."""
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).repartition(*keys, "salt")
+    have = dealt.select(*keys, "salt").distinct().join(table, keys, how)
+    return dealt.join(have, [*keys, "salt"], how).drop("salt")
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select("b", "a")).toDF("u", "v")
     found = beside_group(both, ["u"], ["v"], m=("min", "v"))

@@ -5,15 +5,18 @@
    held by its smallest doc_id; only such representatives go on.
 2. Representatives that share a band key are candidates. A bucket gives one star first: its
    smallest member with each other. Members that are still in different components after that
-   form clusters by the buckets they share; a cluster is cut into blocks of bounded size, and two
-   blocks are compared in one task by the same steps. Pairs never become rows there, only links
-   do, and no pair is dropped.
+   form clusters by the buckets they share; a cluster is cut by a hash of the id into blocks of about a
+   bounded weight, and two blocks are compared in one task by the same steps, leaving out what the
+   task has linked already. Pairs never become rows there, only links do, and no pair is dropped.
 3. A candidate's signatures are compared batch by batch. After n hashes with m agreements the
    similarity has a Beta(m + 1, n - m + 1) posterior under a flat prior; the pair is pruned once
    P(similarity >= threshold) falls below the miss probability.
 4. Survivors are confirmed on their full sets: 100 * |A and B| >= percent * |A or B|.
 5. Components of the confirmed links give the groups.
 
+Rows of one bucket, leader, node or class are dealt to many tasks by a salt (see _graph); a leader's
+signature and set go to each of those tasks once. A cluster of b blocks still takes b * (b + 1) / 2 tasks.
+
 Bands are sized so that a pair just at the threshold shares none with probability below ``MISS``.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing; a text
@@ -29,11 +32,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm import _words as W
-from ravelin.llm._graph import components
+from ravelin.llm._graph import SALTS, beside_group, beside_rows, components
 from ravelin.llm._store import remove, saved, shared_dir, text_steps
 
 #: Chance that a linked pair at the threshold is lost: by sharing no band, and by being pruned.
@@ -151,7 +154,8 @@ def _likely(pairs: DataFrame, sigs: DataFrame, percent: int, hashes: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(on)), part.column(1).take(pa.array(on))], names=["a", "b"])
 
     left, right = (sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    both = beside_rows(pairs.join(right, "b"), ["a"], ["b"], left)
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -174,29 +178,43 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFram
     sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), k)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by leader and salt, the leader's own sets (without b) first
+        of, own = None, []
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                good.append(100 * same >= percent * (len(both) - same))
+            for a, salt, b, x in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                x = np.frombuffer(x, np.uint64)
+                if (a, salt) != of:
+                    of, own = (a, salt), []
+                if b is None:
+                    own.append(x)
+                good.append(b is not None and any(_similar(x, y, percent) for y in own))
             keep = pa.array(np.flatnonzero(good))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
-
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long").distinct()
-
-
-def _blocked(contested: DataFrame) -> DataFrame:
-    """Cut each cluster into blocks of bounded weight and give every row to each pair of blocks it is in: i, j and block."""
-    by = Window.partitionBy("cluster").orderBy("doc_id")
-    weight = F.sum(F.col("n_shingles") + SHINGLES_A_BLOCK / ROWS_A_BLOCK).over(by)
-    rows = contested.withColumn("block", F.floor(weight / SHINGLES_A_BLOCK).cast("int"))
-    last = rows.groupBy("cluster").agg(F.max("block").alias("last"))
-    other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    return rows.join(last, "cluster").select("cluster", "doc_id", "c", "bands", "sig", "block", other).select(
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(2).take(keep)], names=["a", "b"])
+
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    members = dealt.join(sets, F.col("b") == F.col("doc_id")).select("a", "salt", "b", "shingles")
+    leaders = dealt.select("a", "salt").distinct().join(sets, F.col("a") == F.col("doc_id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = leaders.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(confirm, "a long, b long").distinct()
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _blocked(contested: DataFrame, reps: DataFrame) -> DataFrame:
+    """Deal each cluster's rows (doc_id, c, cluster, n_shingles) to blocks of about a bounded weight and give every row, with its bands and signature, to each pair of blocks it is in: i, j and block."""
+    weighed = contested.withColumn("w", F.col("n_shingles") + int(SHINGLES_A_BLOCK / ROWS_A_BLOCK))
+    rows = beside_group(weighed, ["cluster"], ["doc_id"], weight=("sum", "w"))
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("weight") / SHINGLES_A_BLOCK)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
+    rows = rows.join(reps.select("doc_id", "bands", "sig"), "doc_id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return rows.select("cluster", "doc_id", "c", "bands", "sig", "block", other).select(
         "cluster", "doc_id", "c", "bands", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
 
@@ -212,7 +230,7 @@ def _links_between(rows: DataFrame, docs: DataFrame, percent: int, k: int, hashe
     def compare(t: pa.Table) -> pa.Table:
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         block = t.column("block").to_numpy()
-        doc, comp = t.column("doc_id").to_numpy(), t.column("c").to_numpy()
+        doc, comp = t.column("doc_id").to_numpy(), np.array(t.column("c").to_numpy())
         sig = numbers(t, "sig", np.uint32)
         keys = np.array(t.column("bands").to_pylist(), np.int64)
         held = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
@@ -236,6 +254,9 @@ def _links_between(rows: DataFrame, docs: DataFrame, percent: int, k: int, hashe
             y = y[100 * same >= percent * (size[x] + size[y] - same)]
             a += [int(doc[x])] * len(y)
             b += doc[y].tolist()
+            # what is linked is one component from here on
+            for z in np.unique(comp[y]):
+                comp[comp == z] = comp[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.join(sets, "doc_id").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
@@ -256,28 +277,33 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     members = saved(reps.select("doc_id", F.explode(F.array_distinct("bands")).alias("key")).distinct(), folder, "members")
     sigs = reps.select("doc_id", "sig")
 
-    leaders = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    star = saved(members.join(leaders, "key").where(F.col("doc_id") != F.col("a")).select("a", F.col("doc_id").alias("b")).distinct(), folder, "star")
+    star = beside_group(members, ["key"], ["doc_id"], a=("min", "doc_id")).where(F.col("doc_id") != F.col("a"))
+    star = saved(star.select("a", F.col("doc_id").alias("b")).distinct(), folder, "star")
     likely = saved(_likely(star, sigs, percent, hashes), folder, "star-likely")
     links = saved(_linked(likely, docs, percent, k), folder, "star-links")
     found = components(links, folder, "first")
 
     # what the stars left apart though it shares a bucket
     named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("doc_id").alias("a")).where("low < high").select("key", "a")
-    apart = saved(named.join(mixed, "key").select("a", "doc_id", "c").distinct(), folder, "apart")
+    mixed = beside_group(named, ["key"], ["doc_id"], low=("min", "c"), high=("max", "c"), a=("min", "doc_id")).where("low < high")
+    apart = saved(mixed.select("a", "doc_id", "c").distinct(), folder, "apart")
     clusters = components(apart.select("a", F.col("doc_id").alias("b")), folder, "cluster").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    contested = apart.select("doc_id", "c").distinct().join(clusters, "doc_id").join(reps.select("doc_id", "n_shingles", "bands", "sig"), "doc_id")
-    more = saved(_links_between(saved(_blocked(contested), folder, "contested"), docs, percent, k, hashes), folder, "block-links")
+    contested = apart.select("doc_id", "c").distinct().join(clusters, "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id")
+    more = saved(_links_between(saved(_blocked(contested, reps), folder, "contested"), docs, percent, k, hashes), folder, "block-links")
 
     # rows of a class that aren't its representative hang below it
     last = components(links.union(more), folder, "last")
     for x in ("members", "star", "star-likely", "apart", "contested", "star-links", "block-links"):
         remove(spark, f"{folder}/{x}")
-    own = classes.join(last.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("class_component"))
-    out = profiles.select("doc_id", "n_shingles", "digest").join(own, ["digest", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("class_component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rows = profiles.select("doc_id", "n_shingles", "digest")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    # a class's component is that of its smallest id
+    at = F.struct("doc_id", F.coalesce("component", "doc_id").alias("component")).alias("at")
+    named = rows.where(linked).join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "digest", at)
+    named = beside_group(named, ["digest", "n_shingles"], ["doc_id"], first=("min", "at"))
+    out = named.select("doc_id", "n_shingles", F.col("first.component").alias("component_id"))
+    out = out.union(rows.where(~linked).select("doc_id", "n_shingles", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm import _words as W
+from ravelin.llm._graph import beside_group, beside_rows
 from ravelin.llm._store import remove, saved, shared_dir, text_steps
 
 #: Most texts whose ids and ranges are sent to all executors; more are joined by a shuffle.
@@ -278,16 +279,17 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     scanned = saved(_scan(docs.select("doc_id", F.col("text").cast("binary").alias("text")), n, k), folder, "scan")
-    facts = scanned.select("doc_id", "tag", "n_words", "digest", "sha")
-    long = scanned.where(F.col("n_words") >= n)
-    # a null doc_id sorts first, so it may stand for its class as well
-    classes = saved(long.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("rep"), F.count("*").alias("copies")), folder, "classes")
+    # rows of one word sequence are a class; the least of them (a null doc_id sorts first) stands for it
+    facts = scanned.select("doc_id", "tag", "n_words", "digest", "sha", F.struct("doc_id", "tag").alias("at"), F.lit(1).alias("one"))
+    long = beside_group(facts.where(F.col("n_words") >= n), ["digest"], ["doc_id", "tag", F.monotonically_increasing_id()], copies=("sum", "one"), rep=("min", "at"))
+    facts = facts.where(F.col("n_words") < n).select("doc_id", "tag", "n_words", "sha", F.lit(1).cast("long").alias("copies"), F.lit(True).alias("stands")).union(
+        long.select("doc_id", "tag", "n_words", "sha", "copies", F.col("at").eqNullSafe(F.col("rep")).alias("stands"))
+    )
+    facts = saved(facts, folder, "facts")
     # every other row of a class is left out of what follows
-    copies = long.join(classes.where("copies > 1"), "digest")
-    copies = copies.where(~(F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("tag") == F.col("rep.tag"))))
-    copies = saved(copies.select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).distinct(), folder, "copies")
+    copies = saved(facts.where("not stands").select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag")).distinct(), folder, "copies")
     small = copies.count() <= BROADCAST_TEXTS
-    first = long.join(F.broadcast(copies) if small else copies, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left_anti")
+    first = scanned.where(F.col("n_words") >= n).join(F.broadcast(copies) if small else copies, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left_anti")
     first = first.select("doc_id", "tag", F.explode(F.arrays_zip("hashes", "places", "runs")).alias("s"))
     first = first.select("doc_id", "tag", F.col("s.hashes").alias("hash"), F.col("s.places").alias("place"), F.col("s.runs").alias("run"))
     frequent = saved(_frequent(first.sample(SAMPLED, seed=7), ["hash"]), folder, "frequent-hashes")
@@ -297,7 +299,7 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
 
     regions = saved(_regions(_beside(docs, marked, payload)), folder, "regions")
     counts = _probes(regions, k).groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    hit = _blocks(regions, k).join(counts, "hash", "left_semi").groupBy("doc_id", "tag", "at").agg(F.collect_list("block").alias("found"))
+    hit = beside_rows(_blocks(regions, k), ["hash"], ["doc_id", "tag", "at", "block"], counts, "left_semi").groupBy("doc_id", "tag", "at").agg(F.collect_list("block").alias("found"))
     same = regions["doc_id"].eqNullSafe(F.col("h_doc")) & (regions["tag"] == F.col("h_tag")) & (regions["at"] == F.col("h_at"))
     held = regions.join(hit.withColumnsRenamed({"doc_id": "h_doc", "tag": "h_tag", "at": "h_at"}), same).select("doc_id", "tag", "at", "words", "found")
     # every window of the sampled regions, as a block every n - k + 1 words lies in each
@@ -310,9 +312,12 @@ def remove_repeats(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_co
     payload = repeats.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0]
 
     partly = _kept(_beside(docs, repeats, payload)).distinct().withColumnsRenamed({"doc_id": "of", "tag": "of_tag"})
-    out = facts.join(classes.where("copies > 1").select("digest", "copies"), "digest", "left")
-    out = out.join(partly, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
-    copied = F.col("copies").isNotNull()
+    # rows of which nothing is removed in part meet no join, so none gathers those without words or id
+    copied = F.col("copies") > 1
+    some = facts.where(~copied & (F.col("n_words") >= n))
+    out = some.join(partly, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
+    rest = facts.where(copied | (F.col("n_words") < n))
+    out = out.select("doc_id", "n_words", "copies", "n_removed", "kept_sha256", "sha").union(rest.select("doc_id", "n_words", "copies", F.lit(0).cast("long"), F.lit(None).cast("string"), "sha"))
     return out.select(
         "doc_id", "n_words",
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
