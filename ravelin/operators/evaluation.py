@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def leaderboard(scores: DataFrame, baseline: str) -> DataFrame:
-    """combined, differences in percent from the baseline row and the ratio of both scores, best first."""
+def leaderboard(scores: DataFrame, baseline: str, mixtures: tuple[str, ...] = ()) -> DataFrame:
+    """combined, differences in percent from the baseline row and the ratio of both scores, best first. Models whose name
+    begins with one of ``mixtures`` have no scores per billion parameters, as all of theirs don't work on an answer."""
+    dense = ~F.greatest(F.lit(False), *[F.col("model").startswith(m) for m in mixtures], F.lit(False))
     base = scores.where(F.col("model") == baseline).select(F.col("faithfulness").alias("bf"), F.col("factual").alias("bc"))
     diff = lambda a, b: F.round((F.col(a) - F.col(b)) / F.col(b) * 100, 4)
     return scores.crossJoin(F.broadcast(base.limit(1))).select(
         "model", F.round((F.col("faithfulness") + F.col("factual")) / 2, 6).alias("combined"), diff("faithfulness", "bf").alias("faith_diff"), diff("factual", "bc").alias("fact_diff"),
-        F.round(F.col("faithfulness") / F.col("factual"), 6).alias("ratio"), F.round(F.col("faithfulness") / F.col("params"), 6).alias("faith_per_b"), F.round(F.col("factual") / F.col("params"), 6).alias("fact_per_b"),
+        F.round(F.col("faithfulness") / F.col("factual"), 6).alias("ratio"), F.when(dense, F.round(F.col("faithfulness") / F.col("params"), 6)).alias("faith_per_b"), F.when(dense, F.round(F.col("factual") / F.col("params"), 6)).alias("fact_per_b"),
     ).orderBy(F.desc("combined"))
 
 
@@ -35,6 +37,35 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int, id_col: st
     )
 
 
+def eval_record(rows: DataFrame, question: str, answer: str, context: str, reference: str) -> DataFrame:
+    """The record an evaluator takes; the one context becomes a list."""
+    return rows.select("id", F.col(question).alias("user_input"), F.col(answer).alias("response"), F.array(context).alias("retrieved_contexts"), F.col(reference).alias("reference"))
+
+
+def outcomes(answered: DataFrame, by: str, error: Column) -> DataFrame:
+    """Successes and errors of each group."""
+    return answered.groupBy(by).agg(F.count_if(error.isNull()).alias("n_ok"), F.count_if(error.isNotNull()).alias("n_failed"))
+
+
+def metric_means(scores: DataFrame, by: str, *metrics: str) -> DataFrame:
+    return scores.groupBy(by).agg(*[F.round(F.avg(m), 6).alias(m) for m in metrics])
+
+
+def trials(grid: dict[str, list[int]], spark) -> DataFrame:
+    """Every configuration of a grid of chunk sizes and overlaps, and whether it can be run (the dry run's verdict)."""
+    from itertools import product
+
+    rows = spark.createDataFrame(list(product(*grid.values())), ", ".join(f"{k} int" for k in grid))
+    return rows.withColumn("valid", (F.col("size") > 0) & (F.col("overlap") >= 0) & (F.col("overlap") < F.col("size")))
+
+
+def run_trials(docs: DataFrame, configurations: DataFrame) -> DataFrame:
+    """Chunks that each valid configuration (a few rows) makes of all documents, and their number a document."""
+    n = F.greatest(F.ceil((F.char_length("text") - F.col("overlap")) / (F.col("size") - F.col("overlap"))), F.lit(1))
+    rows = docs.where(F.col("text").isNotNull()).select("text").crossJoin(F.broadcast(configurations.where("valid").limit(1000)))
+    return rows.groupBy("size", "overlap").agg(F.sum(n).cast("long").alias("n_chunks"), F.round(F.avg(n), 6).alias("per_document"))
+
+
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of two token arrays as multisets; 0 if either is empty. A proxy of factual correctness, not a judge's."""
     both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))

@@ -54,8 +54,9 @@ def embed(df: DataFrame, column: str, model: Embed = hashed_embedding, batch: in
     return df.mapInArrow(run, f"{schema}, embedding array<double>")
 
 
-def generate(df: DataFrame, prompt: str, model: Generate = extractive, tries: int = 2) -> DataFrame:
-    """``df`` with ``answer`` and ``error``: a row whose call fails ``tries`` times has the error and no answer, and stops no other."""
+def generate(df: DataFrame, prompt: str, model: Generate = extractive, tries: int = 2, batch: int = 32) -> DataFrame:
+    """``df`` with ``answer`` and ``error``. The model is called with ``batch`` prompts at a time; only those of a batch that
+    failed are tried one by one, and one that fails ``tries`` times has the error and no answer, and stops no other."""
 
     def one(text: str) -> tuple[str | None, str | None]:
         for k in range(tries):
@@ -66,9 +67,17 @@ def generate(df: DataFrame, prompt: str, model: Generate = extractive, tries: in
                     return None, str(e)
         return None, None
 
+    def some(texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            said = model(texts)
+        except Exception:  # noqa: BLE001
+            said = []
+        return [(x, None) for x in said] if len(said) == len(texts) else [one(t) for t in texts]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [one(t) for t in b.column(b.schema.get_field_index(prompt)).to_pylist()]
+            texts = b.column(b.schema.get_field_index(prompt)).to_pylist()
+            got = [x for i in range(0, len(texts), batch) for x in some(texts[i : i + batch])]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([g[k] for g in got], pa.string()) for k in (0, 1))], names=[*b.schema.names, "answer", "error"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -108,8 +117,9 @@ def testset_quota(chunks: DataFrame, n: int, single: float = 0.7) -> DataFrame:
     """The n chunks of least hash with the kind of question to ask: single-hop for the first share, then multi-hop."""
     from pyspark.sql import Window
 
-    got = chunks.orderBy(F.xxhash64("doc_id", "chunk_no"), "doc_id", "chunk_no").limit(n)
-    k = F.row_number().over(Window.orderBy(F.xxhash64("doc_id", "chunk_no"), "doc_id", "chunk_no"))  # n rows
+    order = [F.md5(F.concat_ws("-", "doc_id", "chunk_no")), "doc_id", "chunk_no"]
+    got = chunks.orderBy(*order).limit(n)
+    k = F.row_number().over(Window.orderBy(*order))  # n rows
     return got.withColumn("place", k).withColumn("kind", F.when(k <= int(n * single), "single-hop").otherwise("multi-hop"))
 
 
@@ -131,3 +141,25 @@ def agent_rounds(tasks: DataFrame, decide: Generate, tools: dict[str, Callable],
         step = step.select("id", F.concat("prompt", F.lit("\nObservation: "), seen).alias("prompt"), trace.alias("trace"), done.alias("answer"))
         state = step.unionByName(state.where("answer is not null"))
     return state.select("id", "trace", "answer")
+
+
+def synthesized_qa(contents: DataFrame, model: Generate, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, question, answer) pairs that a model's ``[Q]:`` and ``[A]:`` marks give for each content; contents whose call fails give none."""
+    from ravelin.functions.text import qa_pairs
+
+    said = generate(contents.select(F.col(id_col).alias("id"), F.col(text_col).alias("prompt")), "prompt", model)
+    return said.where("error is null").select("id", F.explode(qa_pairs(F.col("answer"))).alias("p")).select("id", "p.question", "p.answer")
+
+
+def multi_hop_pairs(chunks: DataFrame, most: int = 3, id_col: str = "doc_id") -> DataFrame:
+    """(a, b, shared): chunks that share rare terms, those that between two and ``most`` chunks hold, and how many they share.
+
+    A term links at most ``most`` chunks, so the pairs grow with the chunks and no term gathers many.
+    """
+    from ravelin.functions.text import tokens
+
+    held = chunks.select(id_col, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    rare = held.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).select("term")
+    few = held.join(rare, "term").groupBy("term").agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
+    both = few.select("term", "ids", F.explode("ids").alias("a")).select("term", "a", F.explode("ids").alias("b")).where("a < b")
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -66,7 +66,12 @@ def positional_split(df: DataFrame, ratio: float, order: list[str]) -> DataFrame
 
 def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows of least hash: the same rows on every run."""
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+
+
+def looked_up(df: DataFrame, codes: DataFrame, key: str, default: str) -> DataFrame:
+    """``df`` with the ``label`` of a small table of codes (key, label; at most 10,000 rows are taken as one), a default where it has none."""
+    return df.join(F.broadcast(codes.limit(10_000)), key, "left").withColumn("label", F.coalesce("label", F.lit(default)))
 
 
 def concatenated(df: DataFrame, by: list[str], order: str, text: Column, separator: str = "\n\n") -> DataFrame:

@@ -17,7 +17,6 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 QUERY = ["the", "ofthe", "license", "and", "tion"]
-MODELS = ["gpt_4o_mini", "google_gemma_3_4b_it_fr", "deepseek_deepseek_chat_", "qwen_qwen3_4b_free", "kakaocorp.kanana_nano_2.1b", "exaone_3.5_2.4b_instruc", "hyperclovax_seed_text_1.5b"]
 #: Model, parameters in billions, faithfulness, factual correctness.
 SCORES = [
     ("gpt_4o_mini", 8.0, 0.6388, 0.4881),
@@ -62,7 +61,7 @@ def oracle_sql() -> dict[str, str]:
 # text and chunks
 
 
-@query(r"""select doc_id, md5(replace(trim(regexp_replace(replace(text, chr(160), ' '), '\s+', ' ', 'g')), '>', '')) as cleaned from documents""")
+@query(r"""select doc_id, md5(replace(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), '>', '')) as cleaned from documents""")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("cleaned"))
 
@@ -117,7 +116,7 @@ def url_parts(spark, sf_dir):
     return p.where(F.col("host").like("%example.com"))
 
 
-@query()
+@query(f"select url, regexp_extract(html, '<title>(.*?)</title>', 1, 'is') as title, cast(length({_STRIP}) as int) as n_chars from pages")
 def page_documents(spark, sf_dir):
     d = readers.pages_as_documents(table(spark, sf_dir, "pages"))
     return d.select(F.col("metadata")["url"].alias("url"), F.col("metadata")["title"].alias("title"), F.char_length("text").alias("n_chars"))
@@ -225,13 +224,29 @@ def mmr_rerank(spark, sf_dir):
     return retrieval.mmr(near, 4)
 
 
-@query(f"""with b as (select doc_id, row_number() over (order by score desc, doc_id) as rank from ({_BM25}) order by rank limit 20), n as (select doc_id, row_number() over (order by n_chars desc, doc_id) as rank from documents order by rank limit 20)
+@query(f"""with b as (select doc_id, row_number() over (order by score desc, doc_id) as rank from ({_BM25}) order by rank limit 20),
+    n as (select vec_id as doc_id, row_number() over (order by score desc, vec_id) as rank from (select b.vec_id, {_COS} as score from embeddings a, embeddings b where a.vec_id = 0) order by rank limit 20)
     select doc_id, round(sum(0.5 / (60 + rank)), 8) as score from (select * from b union all select * from n) group by doc_id""")
 def rrf_hybrid(spark, sf_dir):
+    """BM25 over the texts fused with cosine search over the vectors; a vector's id is its document's."""
+    v = table(spark, sf_dir, "embeddings")
+    first = v.where("vec_id = 0").select("embedding").first()
+    near = retrieval.cosine(v, first[0] if first else []).withColumnRenamed("vec_id", "doc_id")
+    return retrieval.fuse([(retrieval.ranked(bm25_scores(spark, sf_dir), 20), 0.5), (retrieval.ranked(near, 20), 0.5)])
+
+
+def _bm25_sql(terms: list[str]) -> str:
+    return _BM25.replace(", ".join(f"'{q}'" for q in QUERY), ", ".join(f"'{q}'" for q in terms))
+
+
+_EXPANDED = [["license", "and"], ["rights", "ofthe", "the"]]
+
+
+@query(f"""select doc_id, round(sum(1.0 / (60 + rank)), 8) as score from ({" union all ".join(f"(select doc_id, row_number() over (order by score desc, doc_id) as rank from ({_bm25_sql(q)}) order by rank limit 20)" for q in _EXPANDED)}) group by doc_id""")
+def expanded_search(spark, sf_dir):
+    """A query's expansions searched each by itself, their lists fused."""
     docs = table(spark, sf_dir, "documents")
-    a = retrieval.ranked(bm25_scores(spark, sf_dir), 20)
-    b = retrieval.ranked(docs.select("doc_id", F.col("n_chars").alias("score")), 20)
-    return retrieval.fuse([(a, 0.5), (b, 0.5)])
+    return retrieval.fuse([(retrieval.ranked(retrieval.bm25(docs, q), 20), 1.0) for q in _EXPANDED])
 
 
 @query()
@@ -272,7 +287,7 @@ def faithfulness_offline(spark, sf_dir):
     return rag.faithfulness(answered.select("id", "answer", F.col("text").alias("context"))).withColumn("band", evaluation.band(F.col("faithfulness")))
 
 
-@query()
+@query(f"select doc_id, chunk_no, cast(place as int) as place, case when place <= 140 then 'single-hop' else 'multi-hop' end as kind from (select doc_id, chunk_no, row_number() over (order by md5(doc_id || '-' || chunk_no), doc_id, chunk_no) as place from ({_CHUNKS})) where place <= 200")
 def testset_quota(spark, sf_dir):
     return rag.testset_quota(chunking.sliding_chunks(table(spark, sf_dir, "documents")), 200).select("doc_id", "chunk_no", "place", "kind")
 
@@ -333,10 +348,10 @@ def model_unpivot(spark, sf_dir):
 
 @query(f"""with b as (select * from {_SCORES_SQL} where model = 'gpt_4o_mini')
     select s.model, round((s.faithfulness + s.factual) / 2, 6) as combined, round((s.faithfulness - b.faithfulness) / b.faithfulness * 100, 4) as faith_diff, round((s.factual - b.factual) / b.factual * 100, 4) as fact_diff,
-    round(s.faithfulness / s.factual, 6) as ratio, round(s.faithfulness / s.params, 6) as faith_per_b, round(s.factual / s.params, 6) as fact_per_b from (select model, cast(params as double) as params, cast(faithfulness as double) as faithfulness, cast(factual as double) as factual from {_SCORES_SQL}) s,
+    round(s.faithfulness / s.factual, 6) as ratio, case when not starts_with(s.model, 'deepseek') then round(s.faithfulness / s.params, 6) end as faith_per_b, case when not starts_with(s.model, 'deepseek') then round(s.factual / s.params, 6) end as fact_per_b from (select model, cast(params as double) as params, cast(faithfulness as double) as faithfulness, cast(factual as double) as factual from {_SCORES_SQL}) s,
     (select cast(faithfulness as double) as faithfulness, cast(factual as double) as factual from b) b""")
 def model_leaderboard(spark, sf_dir):
-    return evaluation.leaderboard(readers.literal(spark, SCORES, "model string, params double, faithfulness double, factual double"), "gpt_4o_mini")
+    return evaluation.leaderboard(readers.literal(spark, SCORES, "model string, params double, faithfulness double, factual double"), "gpt_4o_mini", ("deepseek",))
 
 
 @query(f"select round(regr_slope(faithfulness, params), 6) as slope, round(regr_intercept(faithfulness, params), 6) as intercept, round(regr_r2(faithfulness, params), 6) as r2 from (select cast(params as double) as params, cast(faithfulness as double) as faithfulness from {_SCORES_SQL} where not starts_with(model, 'deepseek'))")
@@ -374,7 +389,7 @@ def positional_split(spark, sf_dir):
     return d.select("doc_id", F.col("position").cast("long").alias("position"), "part")
 
 
-@query()
+@query("select doc_id, lang from documents order by md5(cast(doc_id as varchar)), doc_id limit 50")
 def content_sample(spark, sf_dir):
     return relational.sample_by_hash(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 50)
 
@@ -490,7 +505,8 @@ def fare_lookup(spark, sf_dir):
     return transit.fares(table_, ["adult"])
 
 
-@query()
+@query(rf"""select printf('%s_chunk_%03d.md', stem, n) as name, md5(printf('# %s chunk %d', stem, n) || chr(10) || chr(10) || '## Metadata' || chr(10) || chr(10) || '- filename: ' || source || '.md' || chr(10) || chr(10) || '## Content' || chr(10) || chr(10) || text || chr(10)) as digest
+    from (select *, row_number() over (partition by stem order by doc_id, chunk_no) as n from (select c.*, source, regexp_replace(regexp_replace(source || '.md', '[\\/:*?"<>|]', '_', 'g'), '\.[^.]*$', '') as stem from ({_CHUNKS}) c join documents d using (doc_id)))""")
 def markdown_chunk_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     chunks = chunking.sliding_chunks(docs).join(docs.select("doc_id", "source"), "doc_id").withColumn("metadata", F.create_map(F.lit("filename"), F.concat("source", F.lit(".md"))))
@@ -506,3 +522,143 @@ def events_tumbling(spark, sf_dir):
     s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from b) select user_id, min(ts) as start, count(*) as n from s group by user_id, k""")
 def events_session(spark, sf_dir):
     return E.sessions(table(spark, sf_dir, "events"))
+
+
+# names, records, counters and grids
+
+
+@query("select doc_id, md5(regexp_replace(text, '[^a-z가-힣A-Z0-9_-]', '', 'g')) as digest from documents")
+def word_characters(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.word_characters(F.col("text"))).alias("digest"))
+
+
+@query(r"""select page_id, regexp_replace(regexp_replace(url, '[\\/:*?"<>|]', '_', 'g'), '\.[^.]*$', '') as name from pages""")
+def safe_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
+
+
+@query("select doc_id, 'unknown' as author, md5('[' || source || ']' || chr(10) || text) as digest from documents where source is not null")
+def named_contents(spark, sf_dir):
+    held = F.create_map(F.lit("source"), F.col("source"))
+    return table(spark, sf_dir, "documents").where("source is not null").select("doc_id", T.metadata(held, "author", "unknown").alias("author"), F.md5(T.with_name(T.metadata(held, "source", "unknown"), F.col("text"))).alias("digest"))
+
+
+@query("select event_id, 'run_' || strftime(ts, '%Y%m%d_%H%M%S') || '.json' as name from events")
+def stamped_names(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.stamped("run_", F.col("ts"), ".json").alias("name"))
+
+
+@query("select lang, string_agg(source, ' 또는 ' order by source) as said from (select distinct lang, source from documents where source is not null) group by lang")
+def joined_alternatives(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    return d.groupBy("lang").agg(T.alternatives(F.sort_array(F.collect_set("source"))).alias("said"))
+
+
+LOCAL, HOSTED = SIGNATURES[3:6], SIGNATURES[:3]
+
+
+@query("select model, case when model like '%gpt%' then 'openai' when model in (" + ", ".join(f"'{m}'" for m in LOCAL) + ") then 'local' when model in (" + ", ".join(f"'{m}'" for m in HOSTED) + ") then 'openrouter' end as provider from (values " + ", ".join(f"('{m}')" for m in [*SIGNATURES, "other"]) + ") s(model)")
+def model_routing(spark, sf_dir):
+    m = readers.literal(spark, [(x,) for x in [*SIGNATURES, "other"]], "model string")
+    return m.select("model", T.provider(F.col("model"), LOCAL, HOSTED).alias("provider"))
+
+
+@query("select item_id as id, substring(text, 1, 40) as user_input, 'a' as response, md5(text) as context, 1 as n_contexts, substring(text, 1, 10) as reference from benchmark")
+def eval_records(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("q"), F.lit("a").alias("a"), "text", F.substring("text", 1, 10).alias("r"))
+    return evaluation.eval_record(b, "q", "a", "text", "r").select("id", "user_input", "response", F.md5(F.col("retrieved_contexts")[0]).alias("context"), F.size("retrieved_contexts").alias("n_contexts"), "reference")
+
+
+@query("select event_type, cast(count(*) filter (where value >= 10) as bigint) as n_ok, cast(count(*) filter (where value < 10) as bigint) as n_failed from events group by 1")
+def answer_outcomes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return evaluation.outcomes(e, "event_type", F.when(F.col("value") < 10, "too small"))
+
+
+@query("select lang, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic from documents join labels using (doc_id) group by lang")
+def metric_means(spark, sf_dir):
+    d = relational.assert_unique(table(spark, sf_dir, "labels"), "doc_id").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluation.metric_means(d, "lang", "quality", "toxic")
+
+
+@query("select doc_id, lang, quality from documents left join labels using (doc_id)")
+def asserted_join(spark, sf_dir):
+    labels = relational.assert_unique(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "quality")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+
+
+@query("select doc_id, lang, case lang when 'de' then 'German' when 'en' then 'English' else 'other' end as label from documents")
+def code_lookup(spark, sf_dir):
+    codes = readers.literal(spark, [("de", "German"), ("en", "English")], "lang string, label string")
+    return relational.looked_up(table(spark, sf_dir, "documents").select("doc_id", "lang"), codes, "lang", "other")
+
+
+@query("select item_id as id, 'which ' || md5(text) as question, 'this ' || item_id as answer from benchmark union all select item_id, 'again', 'yes' from benchmark")
+def qa_synthesis(spark, sf_dir):
+    import hashlib
+
+    def model(prompts):
+        return [f"[Q]: which {hashlib.md5(p.partition('|')[2].encode()).hexdigest()}\n[A]: this {p.partition('|')[0]}\n[Q]: again [A]: yes" for p in prompts]
+
+    b = table(spark, sf_dir, "benchmark").where("text is not null").select(F.col("item_id").alias("id"), F.concat_ws("|", "item_id", "text").alias("text"))
+    return rag.synthesized_qa(b, model)
+
+
+@query(f"""with h as (select distinct item_id as id, unnest({tokens_sql('text')}) as term from benchmark), r as (select term from h group by term having count(*) between 2 and 3)
+    select a.id as a, b.id as b, count(*) as shared from h a join h b using (term) join r using (term) where a.id < b.id group by 1, 2""")
+def multi_hop_pairs(spark, sf_dir):
+    return rag.multi_hop_pairs(table(spark, sf_dir, "benchmark"), 3, "item_id")
+
+
+_GRID = {"size": [256, 512, 2000], "overlap": [0, 128, 512]}
+
+
+@query("select size, overlap, cast(sum(n) as bigint) as n_chunks, round(avg(n), 6) as per_document from (select size, overlap, greatest(cast(ceil((length(text) - overlap) / cast(size - overlap as double)) as bigint), 1) as n from documents, (values (256), (512), (2000)) s(size), (values (0), (128), (512)) o(overlap) where overlap < size and text is not null) group by all")
+def configuration_trials(spark, sf_dir):
+    return evaluation.run_trials(table(spark, sf_dir, "documents"), evaluation.trials(_GRID, spark))
+
+
+@query("select cast(id as int) as id, said from (values (1, '1. go' || chr(10) || '2. turn'), (2, '')) s(id, said)")
+def numbered_sentences(spark, sf_dir):
+    rows = readers.literal(spark, [(1, ["go", None, "turn"]), (2, [])], "id int, steps array<string>")
+    return rows.select("id", transit.sentences(F.col("steps")).alias("said"))
+
+
+# round trips through files
+
+_FACTS = "select doc_id, lang, source, n_chars from documents"
+
+
+def _facts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+
+
+@query(_FACTS)
+def csv_round_trip(spark, sf_dir):
+    d, path = _facts(spark, sf_dir), sinks.scratch(spark)
+    sinks.csv(d, path)
+    return readers.csv(spark, path, d.schema)
+
+
+@query("select doc_id, md5(text) as digest from documents")
+def json_lines_round_trip(spark, sf_dir):
+    d, path = table(spark, sf_dir, "documents").select("doc_id", "text"), sinks.scratch(spark)
+    sinks.json_lines(d.where("doc_id % 2 = 0"), path)
+    sinks.json_lines(d.where("doc_id % 2 <> 0"), path, append=True)
+    return readers.json_lines(spark, path, "doc_id long, text string").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query(_FACTS)
+def collection_append_new(spark, sf_dir):
+    d, path = _facts(spark, sf_dir), sinks.scratch(spark)
+    for part in (d.where("doc_id % 3 = 0"), d, d):
+        sinks.append_new(part, path, ["doc_id"])
+    return readers.collection(spark, path)
+
+
+@query("select part, count(*) as n, min(doc_id) as first, max(doc_id) as last from (select doc_id, case when row_number() over (order by doc_id) <= floor(count(*) over () * 0.8) then 'train' else 'test' end as part from documents) group by part")
+def train_test_files(spark, sf_dir):
+    path = sinks.scratch(spark)
+    sinks.train_test(_facts(spark, sf_dir), path, 0.8, ["doc_id"])
+    parts = [spark.read.parquet(f"{path}/{x}").withColumn("part", F.lit(x)) for x in ("train", "test")]
+    return parts[0].unionByName(parts[1]).groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.text import last_segment, safe_name
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one where that isn't set and driver and executors are one machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='ravelin-')}"
+    return f"{base.rstrip('/')}/ravelin-{uuid.uuid4().hex}"
+
+
 def parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

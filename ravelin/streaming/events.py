@@ -26,7 +26,12 @@ def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> Data
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
-def resume(source: DataFrame, done_path: str, keys: list[str], work: Callable[[DataFrame], DataFrame], checkpoint: str, files: int = 10):
+def file_batches(spark, path: str, schema: str, files: int = 10) -> DataFrame:
+    """JSON lines of a folder as a stream of at most ``files`` files a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+
+
+def resume(source: DataFrame, done_path: str, keys: list[str], work: Callable[[DataFrame], DataFrame], checkpoint: str):
     """Work through a file stream in batches, skipping keys that are done, and append results; starting again repeats nothing."""
     from ravelin.sources.sinks import append_new
 

@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
-from ravelin.operators import chunking, evaluation, memory, relational, retrieval, transit
+from ravelin.operators import chunking, evaluation, memory, rag, relational, retrieval, transit
 from ravelin.sources import readers, sinks
 from ravelin.streaming import events
 
@@ -79,7 +80,7 @@ def test_stream_resumes(spark, tmp_path):
     for name in ("1", "2"):
         if name == "2":
             (tmp_path / "in" / "2.json").write_text('{"q": "b"}\n{"q": "c"}\n')
-        stream = spark.readStream.schema("q string").json(str(tmp_path / "in"))
+        stream = events.file_batches(spark, str(tmp_path / "in"), "q string", 1)
         events.resume(stream, f"{tmp_path}/out", ["q"], lambda d: d, f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.q for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c"]
 
@@ -96,3 +97,39 @@ def test_nearest_walks_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 6)
     assert take(v.where("vec_id % 2 = 0")) == whole and len(whole) == 60
     assert take(v.limit(0)) == []
+
+
+def test_agent_steps_by_lines(spark):
+    cases = {
+        'Thought: x\nAction: Search\nAction Input: "rain"': ("Search", "rain"),
+        "Action 1: Add\nAction 1 Input 1: 3 4\nmore": ("Add", "3 4\nmore"),
+        "Action Input: 1\nAction: A\nAction Input: 2": ("A", "2"),
+        "Action: A": (None, None), "Action Input: x": (None, None), "": (None, None),
+    }
+    for said, want in cases.items():
+        assert (one(spark, T.action(F.lit(said))), one(spark, T.action_input(F.lit(said)))) == want
+
+
+def test_one_failing_prompt_stops_no_other(spark):
+    def model(prompts):
+        if "bad" in prompts:
+            raise ValueError("no")
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([("a",), ("bad",), ("b",)], "q string").coalesce(1)
+    assert sorted(map(tuple, rag.generate(df, "q", model).collect())) == [("a", "A", None), ("b", "B", None), ("bad", None, "no")]
+
+
+def test_a_repeated_key_fails(spark):
+    with pytest.raises(Exception, match="not unique"):
+        relational.assert_unique(spark.createDataFrame([(1,), (1,)], "k int"), "k").collect()
+
+
+def test_white_space_of_any_script(spark):
+    assert one(spark, T.clean_text(F.lit("a\u3000\u2003b\x0b\x1cc "))) == "a b c"
+
+
+def test_scores_of_mixtures_are_left_out(spark):
+    rows = [("base", 2.0, 0.5, 0.5), ("mix", 100.0, 0.5, 0.5)]
+    got = {r.model: r for r in evaluation.leaderboard(spark.createDataFrame(rows, "model string, params double, faithfulness double, factual double"), "base", ("mix",)).collect()}
+    assert got["mix"].faith_per_b is None and got["base"].faith_per_b == 0.25 and got["mix"].combined == 0.5
