@@ -67,17 +67,17 @@ def judged(docs, items, n=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [100_000, 2, 0])
-def test_decontamination(spark, limit):
+@pytest.mark.parametrize("limit, most", [(100_000, 0), (2, 1000), (0, 1000), (0, 1)])
+def test_decontamination(spark, limit, most):
     docs = [(1, "a b c d e"), (2, "A-b x"), (3, None), (4, ""), (5, "x y z " * 20), (6, "É é foo"), (6, "É é foo"), (None, "a b"), (7, "q " * 300 + "a b")]
     items = [(1, "a b"), (2, "c d e"), (3, "Z x y z x y z x y z x y z x y"), (4, None), (5, "é"), (10, "a b"), (10, "a b")]
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, items int")
     i = spark.createDataFrame(items, "item_id long, text string")
-    assert sorted(map(tuple, decontamination.judge(d, i, limit=limit).collect()), key=repr) == judged(docs, items)
-    left = sorted((r.doc_id for r in decontamination.remove_contaminated(d, i, limit=limit).collect()), key=repr)
+    assert sorted(map(tuple, decontamination.judge(d, i, limit=limit, most=most).collect()), key=repr) == judged(docs, items)
+    left = sorted((r.doc_id for r in decontamination.remove_contaminated(d, i, limit=limit, most=most).collect()), key=repr)
     assert left == sorted((r[0] for r in judged(docs, items) if not r[5]), key=repr)
-    assert decontamination.judge(d, i.limit(0), limit=limit).where("contaminated").count() == 0
-    assert decontamination.judge(d.limit(0), i, limit=limit).count() == 0
+    assert decontamination.judge(d, i.limit(0), limit=limit, most=most).where("contaminated").count() == 0
+    assert decontamination.judge(d.limit(0), i, limit=limit, most=most).count() == 0
 
 
 def base(t):
