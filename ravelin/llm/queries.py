@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm import _graph, _store, bpe, decontamination, html_text, near_duplicates, quality_rules, secrets, shards, substring_dedup, token_counts, token_files
+from ravelin.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +92,3 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op3_token_counts, op4_main_text, op5_secrets, op6_quality_rules, op7_substring_dedup, op8_shards, op9_token_files, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {
-    "op8_shards": "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256, true as compacted from documents",
-}
