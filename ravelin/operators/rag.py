@@ -54,8 +54,8 @@ def embed(df: DataFrame, column: str, model: Embed = hashed_embedding, batch: in
     return df.mapInArrow(run, f"{schema}, embedding array<double>")
 
 
-def generate(df: DataFrame, prompt: str, model: Generate = extractive, tries: int = 2, batch: int = 32) -> DataFrame:
-    """``df`` with ``answer`` and ``error``. The model is called with ``batch`` prompts at a time; only those of a batch that
+def generate(df: DataFrame, prompt: str, model: Generate = extractive, tries: int = 2, batch: int = 32, skip_null: bool = False) -> DataFrame:
+    """``df`` with ``answer`` and ``error``, both null for a null prompt that is to be skipped. The model is called with ``batch`` prompts at a time; only those of a batch that
     failed are tried one by one, and one that fails ``tries`` times has the error and no answer, and stops no other."""
 
     def one(text: str) -> tuple[str | None, str | None]:
@@ -77,7 +77,11 @@ def generate(df: DataFrame, prompt: str, model: Generate = extractive, tries: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(prompt)).to_pylist()
-            got = [x for i in range(0, len(texts), batch) for x in some(texts[i : i + batch])]
+            ask = [j for j, t in enumerate(texts) if t is not None or not skip_null]
+            got: list[tuple[str | None, str | None]] = [(None, None)] * len(texts)
+            for i in range(0, len(ask), batch):
+                for j, x in zip(ask[i : i + batch], some([texts[j] for j in ask[i : i + batch]])):
+                    got[j] = x
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([g[k] for g in got], pa.string()) for k in (0, 1))], names=[*b.schema.names, "answer", "error"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -126,21 +130,25 @@ def testset_quota(chunks: DataFrame, n: int, single: float = 0.7) -> DataFrame:
 def agent_rounds(tasks: DataFrame, decide: Generate, tools: dict[str, Callable], most: int = 4) -> DataFrame:
     """Run every task's decide, act, observe loop, one DataFrame stage a round: (id, prompt) to (id, trace, answer).
 
-    Unfinished tasks go on with their observations in the prompt, at most ``most`` rounds.
+    Unfinished tasks go on with their observations in the prompt, at most ``most`` rounds; finished ones pass the model by,
+    so each round is one more step over the same rows.
     """
     from ravelin.functions.text import action, action_input, final_answer
 
-    state = tasks.select("id", "prompt", F.array().cast("array<string>").alias("trace"), F.lit(None).cast("string").alias("answer"))
+    state = tasks.select("id", "prompt", F.array().cast("array<string>").alias("trace"), F.lit(None).cast("string").alias("had"))
     for _ in range(most):
-        step = generate(state.where("answer is null").drop("answer"), "prompt", decide).withColumnRenamed("answer", "said")
+        going = F.col("had").isNull()
+        step = generate(state.withColumn("ask", F.when(going, F.col("prompt"))), "ask", decide, skip_null=True).withColumnRenamed("answer", "said")
         seen = F.lit("no such tool")
         for name, tool in tools.items():
             seen = F.when(action(F.col("said")) == name, tool(action_input(F.col("said")))).otherwise(seen)
         done = final_answer(F.col("said"))
-        trace = F.when(done.isNull(), F.concat("trace", F.array(F.concat_ws(" -> ", action(F.col("said")), seen)))).otherwise(F.col("trace"))
-        step = step.select("id", F.concat("prompt", F.lit("\nObservation: "), seen).alias("prompt"), trace.alias("trace"), done.alias("answer"))
-        state = step.unionByName(state.where("answer is not null"))
-    return state.select("id", "trace", "answer")
+        acted = F.concat("trace", F.array(F.concat_ws(" -> ", action(F.col("said")), seen)))
+        state = step.select(
+            "id", F.when(going, F.concat("prompt", F.lit("\nObservation: "), seen)).otherwise(F.col("prompt")).alias("prompt"),
+            F.when(going & done.isNull(), acted).otherwise(F.col("trace")).alias("trace"), F.coalesce("had", done).alias("had"),
+        )
+    return state.select("id", "trace", F.col("had").alias("answer"))
 
 
 def synthesized_qa(contents: DataFrame, model: Generate, id_col: str = "id", text_col: str = "text") -> DataFrame:

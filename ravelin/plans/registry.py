@@ -90,7 +90,16 @@ def token_sized_chunks(spark, sf_dir):
     return chunking.recursive_chunks(table(spark, sf_dir, "documents"), 800, 100, unit="words")
 
 
-@query()
+_LINES = """t as (select doc_id, '# ' || source || chr(10) || chr(10) || '## ' || lang || chr(10) || chr(10) || text as text from documents), l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from t),
+    v as (select *, length(regexp_extract(line, '^(#{1,3})[ \\t\\n\\x0B\\f\\r]+[^ \\t\\n\\x0B\\f\\r]', 1)) as level, trim(regexp_replace(line, '^#+[ \\t\\n\\x0B\\f\\r]+', ''), ' ') as title from l)"""
+
+
+def _header(k: int) -> str:
+    return f"nullif(last_value(case when level = {k} then title when level > 0 and level < {k} then '' end ignore nulls) over w, '') as header_{k}"
+
+
+@query(f"""with {_LINES}, h as (select doc_id, n, line, level, sum(case when level > 0 then 1 else 0 end) over w as section_no, {", ".join(map(_header, (1, 2, 3)))} from v window w as (partition by doc_id order by n rows between unbounded preceding and current row))
+    select doc_id, cast(section_no as bigint) as section_no, header_1, header_2, header_3, text from (select doc_id, section_no, header_1, header_2, header_3, trim(string_agg(line, chr(10) order by n) filter (where level = 0), ' ') as text from h group by all) where text <> ''""")
 def header_sections(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n## "), "lang", F.lit("\n\n"), "text").alias("text"))
     return chunking.header_sections(docs)
@@ -122,7 +131,10 @@ def page_documents(spark, sf_dir):
     return d.select(F.col("metadata")["url"].alias("url"), F.col("metadata")["title"].alias("title"), F.char_length("text").alias("n_chars"))
 
 
-@query()
+@query(r"""with e as (select distinct url, regexp_extract(url, '^(https?://[^/]+)', 1) || link as target from (select url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1)) as link from pages)),
+    a as (select url from pages order by page_id limit 3), b as (select distinct target as url from e join a using (url) where target not in (select url from a)),
+    c as (select distinct target as url from e join b using (url) where target not in (select url from a) and target not in (select url from b))
+    select url, cast(depth as int) as depth from (select url, 0 as depth from a union all select url, 1 from b union all select url, 2 from c) order by depth, url limit 10""")
 def crawl(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     edges = readers.links(p).select("url", F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), "target").alias("target"))
@@ -217,7 +229,19 @@ def retrieval_metrics(spark, sf_dir):
     return evaluation.retrieval_metrics(near, label, 5, "vec_id")
 
 
-@query()
+def _mmr_sql(k: int) -> str:
+    """k picks from the 20 nearest of each query, each by its score less its greatest similarity to those picked before."""
+    cos = _COS.removeprefix("round(").removesuffix(", 6)")
+    steps = ["p1 as (select query_id, vec_id, 1 as rank from (select *, row_number() over (partition by query_id order by round(0.5 * score, 9) desc, score desc, vec_id) as o from near) where o = 1)"]
+    for j in range(2, k + 1):
+        before = " union all ".join(f"select * from p{i}" for i in range(1, j))
+        gain = f"select n.query_id, n.vec_id, n.score, round(0.5 * n.score - 0.5 * max(c.cos), 9) as gain from near n join ({before}) b on b.query_id = n.query_id join cos c on c.query_id = n.query_id and c.a = n.vec_id and c.b = b.vec_id where (n.query_id, n.vec_id) not in (select (query_id, vec_id) from ({before})) group by n.query_id, n.vec_id, n.score"
+        steps.append(f"p{j} as (select query_id, vec_id, {j} as rank from (select *, row_number() over (partition by query_id order by gain desc, score desc, vec_id) as o from ({gain})) where o = 1)")
+    near = f"near as ({_KNN.replace('rank <= 4', 'rank <= 20')}), cos as (select x.query_id, x.vec_id as a, y.vec_id as b, {cos} as cos from near x join near y using (query_id) join embeddings a on a.vec_id = x.vec_id join embeddings b on b.vec_id = y.vec_id)"
+    return f"with {near}, {', '.join(steps)} select query_id, vec_id, cast(rank as int) as rank from ({' union all '.join(f'select * from p{i}' for i in range(1, k + 1))})"
+
+
+@query(_mmr_sql(4))
 def mmr_rerank(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     near = retrieval.nearest(v, v.where("vec_id % 50 = 0"), 20).join(v.select("vec_id", "embedding"), "vec_id")
@@ -274,13 +298,22 @@ def rag_context(spark, sf_dir):
     return relational.concatenated(rows, ["all"], "rank", F.col("text")).join(n, "all").select(F.md5("text").alias("digest"), "n_chunks")
 
 
-@query()
+def _answered(text: str, asked: str) -> str:
+    """SQL of the first sentence after 'Context: ' that shares a white-space word with what is asked, else the first."""
+    cut = f"list_filter(list_transform(string_split(regexp_replace('Context: ' || {text}, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    shared = f"list_filter({cut}, lambda x: len(list_intersect(regexp_extract_all(lower(x), '\\S+'), regexp_extract_all(lower({asked}), '\\S+'))) > 0)"
+    return f"coalesce({shared}[1], {cut}[1], '')"
+
+
+@query(f"""select item_id, {_answered("text", "list_last(string_split(text, '. '))")} as answer, cast(null as varchar) as error from benchmark""")
 def rag_answer_offline(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.fill("Context: {context}\nQuestion: {question}", context=F.col("text"), question=F.substring("text", 1, 60)).alias("prompt"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.fill("Context: {context}\nQuestion: {question}", context=F.col("text"), question=F.substring_index("text", ". ", -1)).alias("prompt"))
     return rag.generate(items, "prompt").select("item_id", "answer", "error")
 
 
-@query()
+@query(f"""with a as (select item_id as id, {tokens_sql('text')} as c, unnest(list_filter(regexp_split_to_array({_answered("text", "'the'")}, '[.!?\\n]+'), lambda x: trim(x, ' ') <> '')) as claim from benchmark),
+    f as (select id, round(avg(case when 2 * len(list_intersect(list_distinct({tokens_sql('claim')}), c)) >= len(list_distinct({tokens_sql('claim')})) then 1.0 else 0.0 end), 6) as faithfulness from a group by id)
+    select id, faithfulness, case when faithfulness >= 0.7 then 'target' when faithfulness >= 0.5 then 'baseline' else 'below' end as band from f""")
 def faithfulness_offline(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     answered = rag.generate(items.withColumn("prompt", F.concat(F.lit("Context: "), "text", F.lit("\nQuestion: the"))), "prompt")
@@ -292,7 +325,7 @@ def testset_quota(spark, sf_dir):
     return rag.testset_quota(chunking.sliding_chunks(table(spark, sf_dir, "documents")), 200).select("doc_id", "chunk_no", "place", "kind")
 
 
-@query()
+@query("""select id, 'Length -> ' || n as trace, n as answer from (select item_id as id, cast(length(trim(trim(split_part(text, chr(10), 1), ' '), '"')) as varchar) as n from benchmark)""")
 def agent_rounds(spark, sf_dir):
     tasks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
 
