@@ -50,20 +50,22 @@ def _small(e: DataFrame) -> DataFrame:
     return found.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b"))
 
 
+def _sum(e: DataFrame):
+    """Number of links and a sum over their hashes, which tell whether a round changed them; links that are stars already stay as they are."""
+    return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the smallest node reachable. Null ends are left out."""
     spark = links.sparkSession
     ends = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e = saved(ends, folder, f"{name}-0")
-    last, k = None, 0
-    while True:
+    last, k = _sum(e), 0
+    while last[0]:
         k += 1
         nxt = saved(_small(_large(e).where("a <> b").distinct()).where("a <> b").distinct(), folder, f"{name}-{k}")
         remove(spark, f"{folder}/{name}-{k - 1}")
-        # a sum over hashes of the links tells whether they changed
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        e = nxt
-        if now == last:
+        e, before, last = nxt, last, _sum(nxt)
+        if last == before:
             break
-        last = now
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

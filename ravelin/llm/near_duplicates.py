@@ -292,7 +292,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     more = saved(_links_between(saved(_blocked(contested, reps), folder, "contested"), docs, percent, k, hashes), folder, "block-links")
 
     # rows of a class that aren't its representative hang below it
-    last = components(links.union(more), folder, "last")
+    # the first links count as the stars they came to, so only what the blocks added takes rounds
+    last = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), folder, "last")
     for x in ("members", "star", "star-likely", "apart", "contested", "star-links", "block-links"):
         remove(spark, f"{folder}/{x}")
     rows = profiles.select("doc_id", "n_shingles", "digest")
