@@ -127,3 +127,20 @@ def test_substrings_as_brute_force(spark, monkeypatch, n, limit, sampled):
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(map(tuple, substring_dedup.remove_repeats(df, n).collect()), key=key) == sorted(removed(rows, n), key=key)
     assert n > 1 or substring_dedup.remove_repeats(df.limit(0), n).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [5, 40])
+def test_components_over_many_chunks(spark, tmp_path, chunk):
+    """Chains, stars and a clique, with chunks that hold a small part of the links."""
+    r = random.Random(chunk)
+    links = [(k, k + 1) for k in range(0, 120)] + [(500 + k, 501 + k) for k in r.sample(range(100), 95)] + [(900, k) for k in range(800, 950)] + [(r.randint(1000, 1040), r.randint(1000, 1040)) for _ in range(60)] + [(7, 7), (5, None)]
+    r.shuffle(links)
+    up = {}
+    root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
+    for a, b in links:
+        if b is not None and a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(4), f"file://{tmp_path}", "c", chunk).collect()
+    assert len(got) == len({x.node for x in got})
+    assert dict(map(tuple, got)) == {x: root(x) for x in up}
