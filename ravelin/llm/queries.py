@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravelin.llm import _graph, _store, bpe, decontamination, html_text, near_duplicates, quality_rules, secrets, shards, substring_dedup, token_counts, token_files
+from ravelin.llm import _graph, _store, bpe, decontamination, hard_negatives, html_text, near_duplicates, prefix_trie, quality_rules, secrets, shards, simhash, substring_dedup, token_counts, token_files
 from ravelin.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -91,4 +91,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, token_files.tokens_to_files(docs, folder, bpe.default_vocabulary(), _store.parts(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_near_duplicates, op3_token_counts, op4_main_text, op5_secrets, op6_quality_rules, op7_substring_dedup, op8_shards, op9_token_files, op10_decontamination)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"), k=3, distance=3)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("preorder", "subtree_end")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh vec_id are moved on by one before mining."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_near_duplicates, op3_token_counts, op4_main_text, op5_secrets, op6_quality_rules, op7_substring_dedup, op8_shards, op9_token_files, op10_decontamination, op11_simhash, op12_prefix_trie, op13_hard_negatives)
+}

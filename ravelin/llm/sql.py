@@ -84,6 +84,28 @@ OP5 = rf"""with {TEXTS}, x as ({_MATCHES}), y as (select r, kind, value, case ki
 
 OP8 = "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256, true as compacted from documents"
 
+OP12 = rf"""with v as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+    k as (select conv_id, turn, role, text, len(regexp_extract_all(text, {SPACED})) as w from v),
+    a as (select conv_id, list({{'r': role, 't': text, 'w': w}} order by turn nulls first, md5(strlen(role) || ':' || role || text)) as turns from k group by conv_id),
+    crc as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) as row_),
+    h as (select conv_id, turns, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda y: cast(ascii(y) as bigint))), lambda c, b: xor(c >> 8, row_[(xor(c, b) & 255) + 1])), 4294967295) % 4 as h from a, crc),
+    b as (select h.conv_id, list_concat(coalesce(f.turns, [])[1 : h.h], h.turns[h.h + 1 :]) as path from h left join a f on f.conv_id = h.conv_id - h.conv_id % 20),
+    m as (select conv_id, len(path) as n, unnest(range(0, len(path) + 1)) as depth, path from b),
+    p as (select conv_id, n, depth, list_transform(path[1:depth], lambda y: {{'r': y.r, 't': y.t}}) as key, list_transform(path[1 : depth - 1], lambda y: {{'r': y.r, 't': y.t}}) as up, case when depth > 0 then path[depth].w else 0 end as w from m),
+    n as (select depth, key, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(w) as w, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where n = depth), '')) as ends_sha256 from p group by depth, key),
+    c as (select depth - 1 as depth, up as key, count(*) as n_children from n where depth > 0 group by 1, 2),
+    g as (select n.*, coalesce(n_children, 0) as n_children from n left join c using (depth, key)),
+    s as (select t.depth, t.key, count(*) filter (where u.n_children = 0) as n_leaves, sum((u.n_convs - 1) * u.w) as saved_tokens from g t join g u on u.depth >= t.depth and u.key[1 : t.depth] = t.key group by 1, 2)
+    select g.conv_id, g.depth, x.conv_id as parent_conv_id, g.n_convs, g.n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, g.ends_sha256 from g join s using (depth, key) left join g x on x.depth = g.depth - 1 and x.key = g.up"""
+
+OP13 = """with q as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q
+        from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.r as ar, a.vec_id as anchor_id, x.r as xr, x.vec_id as vec_id, a.label = x.label as same, cast(list_sum(list_transform(range(1, len(a.q) + 1), lambda k: a.q[k] * x.q[k])) as bigint) as score from q a join q x on a.r <> x.r where a.vec_id % 50 = 0),
+    p as (select * from (select *, row_number() over (partition by ar order by score desc, vec_id, xr) as k from s where same) where k <= 5),
+    n as (select p.anchor_id, p.ar, p.k, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.ar, p.k order by s.score desc, s.vec_id, s.xr) as rank
+        from p join s on s.ar = p.ar and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+    select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_near_duplicates": OP2,
     "op5_secrets": OP5,
@@ -91,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_substring_dedup": OP7,
     "op8_shards": OP8,
     "op10_decontamination": OP10,
+    "op12_prefix_trie": OP12,
+    "op13_hard_negatives": OP13,
 }
