@@ -1,27 +1,28 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. One scan makes each text's set of word shingles (64-bit hashes of them), a 128-bit digest of
-   the set, a MinHash signature and the keys of its bands. Texts with the same set are one class,
+   the set, a MinHash signature (a byte a hash) and the keys of its bands. Texts with the same set are one class,
    held by its smallest doc_id; only such representatives go on.
 2. Representatives that share a band key are candidates. A bucket gives one star first: its
    smallest member with each other. Members that are still in different components after that
-   form clusters by the buckets they share; a cluster is cut by a hash of the id into blocks of about a
-   bounded weight, and two blocks are compared in one task by the same steps, leaving out what the
-   task has linked already. Pairs never become rows there, only links do, and no pair is dropped.
+   form clusters by the buckets they share. A cluster of a bounded weight is compared in one task; a
+   heavier one is taken apart into its buckets again (equal buckets once), and a bucket that is too heavy itself is cut by a
+   hash of the id into blocks, two of which are compared in a task. Only rows that share a band key are compared, and not if the
+   task has linked them already. Pairs never become rows there, only links do, and no pair is dropped.
 3. A candidate's signatures are compared batch by batch. After n hashes with m agreements the
    similarity has a Beta(m + 1, n - m + 1) posterior under a flat prior; the pair is pruned once
-   P(similarity >= threshold) falls below the miss probability.
+   P(similarity >= threshold) falls below the miss probability. Bytes agree by chance once in 256, which only adds agreements.
 4. Survivors are confirmed on their full sets: 100 * |A and B| >= percent * |A or B|.
 5. Components of the confirmed links give the groups.
 
-Rows of one bucket, leader, node or class are dealt to many tasks by a salt (see _graph); a leader's
-signature and set go to each of those tasks once. A cluster of b blocks still takes b * (b + 1) / 2 tasks.
+Joins on a bucket, leader or class are ones that Spark splits where a key is hot (skew join); a leader's set goes to
+each of the salts its pairs are dealt to once.
 
 Bands are sized so that a pair just at the threshold shares none with probability below ``MISS``.
 
 Defined cases: a null, empty or wordless text has an empty set and is linked with nothing; a text
-of fewer words than a shingle is one shingle; rows that share a doc_id are one node; a null doc_id
-is linked with nothing and kept; an empty table gives an empty one; other columns are not read.
+of fewer words than a shingle is one shingle; in groups() rows that share a doc_id are one node and a null doc_id
+is linked with nothing and kept, in drop_duplicates() each row is a node; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravelin.llm import _words as W
-from ravelin.llm._graph import SALTS, beside_group, beside_rows, components
+from ravelin.llm._graph import SALTS, components
+from ravelin.llm._ranks import running
 from ravelin.llm._store import remove, saved, shared_dir, text_steps
 
 #: Chance that a linked pair at the threshold is lost: by sharing no band, and by being pruned.
@@ -125,6 +127,7 @@ def _profiles(docs: DataFrame, k: int, n: int, rows: int) -> DataFrame:
                 sets = shingle_sets(texts, k)
                 sig = signatures(sets, n * rows)
                 keys = band_keys(sig, n, rows).view(np.int64)
+                sig = sig.astype(np.uint8)
                 digest = [np.array([s.sum(dtype=np.uint64), W.mix(s).sum(dtype=np.uint64)], np.uint64).tobytes() for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * n, pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +146,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, percent: int, hashes: int) -> Dat
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, hashes) for c in (2, 3))
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, hashes) for c in (2, 3))
                 on = np.arange(len(x))
                 agree = np.zeros(len(x), np.int64)
                 done = 0
@@ -154,7 +157,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, percent: int, hashes: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(on)), part.column(1).take(pa.array(on))], names=["a", "b"])
 
     left, right = (sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    both = beside_rows(pairs.join(right, "b"), ["a"], ["b"], left)
+    both = pairs.join(right, "b").join(left, "a")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
@@ -206,16 +209,22 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
-def _blocked(contested: DataFrame, reps: DataFrame) -> DataFrame:
-    """Deal each cluster's rows (doc_id, c, cluster, n_shingles) to blocks of about a bounded weight and give every row, with its bands and signature, to each pair of blocks it is in: i, j and block."""
-    weighed = contested.withColumn("w", F.col("n_shingles") + int(SHINGLES_A_BLOCK / ROWS_A_BLOCK))
-    rows = beside_group(weighed, ["cluster"], ["doc_id"], weight=("sum", "w"))
+def _blocked(apart: DataFrame, clusters: DataFrame, reps: DataFrame) -> DataFrame:
+    """Deal the contested rows (unit, doc_id, c) to groups and blocks of about a bounded weight and give every row, with its bands and signature, to each pair of blocks it is in: large, g, i, j and block.
+
+    A group is a cluster, or each unit (a bucket) of a cluster that is too heavy for one task.
+    """
+    weight = lambda rows: rows.join(rows.groupBy("g").agg(F.sum("w").alias("weight")), "g")
+    w = (F.col("n_shingles") + int(SHINGLES_A_BLOCK / ROWS_A_BLOCK)).alias("w")
+    rows = apart.select("doc_id", "c").distinct().join(clusters.withColumnRenamed("cluster", "g"), "doc_id").join(reps.select("doc_id", w), "doc_id")
+    rows = weight(rows).withColumn("large", F.col("weight") > SHINGLES_A_BLOCK)
+    by_unit = rows.where("large").select("doc_id", "c", "w").join(apart.select("doc_id", F.col("unit").alias("g")).distinct(), "doc_id")
+    rows = rows.where("not large").select("large", "g", "doc_id", "c", "weight").union(weight(by_unit).select(F.lit(True), "g", "doc_id", "c", "weight"))
     rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("weight") / SHINGLES_A_BLOCK)).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
-    rows = rows.join(reps.select("doc_id", "bands", "sig"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return rows.select("cluster", "doc_id", "c", "bands", "sig", "block", other).select(
-        "cluster", "doc_id", "c", "bands", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    return rows.join(reps.select("doc_id", "bands", "sig"), "doc_id").select("large", "g", "doc_id", "c", "bands", "sig", "block", other).select(
+        "large", "g", "doc_id", "c", "bands", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
 
 
@@ -231,7 +240,7 @@ def _links_between(rows: DataFrame, docs: DataFrame, percent: int, k: int, hashe
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         block = t.column("block").to_numpy()
         doc, comp = t.column("doc_id").to_numpy(), np.array(t.column("c").to_numpy())
-        sig = numbers(t, "sig", np.uint32)
+        sig = numbers(t, "sig", np.uint8)
         keys = np.array(t.column("bands").to_pylist(), np.int64)
         held = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         size = np.array([len(x) for x in held])
@@ -259,7 +268,7 @@ def _links_between(rows: DataFrame, docs: DataFrame, percent: int, k: int, hashe
                 comp[comp == z] = comp[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.join(sets, "doc_id").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.join(sets, "doc_id").groupBy("large", "g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,42 +281,50 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
 
     profiles = saved(_profiles(docs, k, n, rows), folder, "profiles")
     real = profiles.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = saved(real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep")), folder, "classes")
-    reps = real.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("own")), "doc_id").where(F.col("digest") == F.col("own"))
-    members = saved(reps.select("doc_id", F.explode(F.array_distinct("bands")).alias("key")).distinct(), folder, "members")
+    reps = real.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = saved(reps, folder, "reps")
+    members = reps.select("doc_id", F.explode(F.array_distinct("bands")).alias("key"))
+    firsts = members.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    shared = saved(members.join(firsts, "key").select("key", "doc_id", "a"), folder, "shared")
     sigs = reps.select("doc_id", "sig")
 
-    star = beside_group(members, ["key"], ["doc_id"], a=("min", "doc_id")).where(F.col("doc_id") != F.col("a"))
-    star = saved(star.select("a", F.col("doc_id").alias("b")).distinct(), folder, "star")
-    likely = saved(_likely(star, sigs, percent, hashes), folder, "star-likely")
+    star = saved(shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), folder, "star")
+    likely = saved(_likely(star, sigs, percent, hashes).distinct(), folder, "star-likely")
     links = saved(_linked(likely, docs, percent, k), folder, "star-links")
     found = components(links, folder, "first")
 
-    # what the stars left apart though it shares a bucket
-    named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = beside_group(named, ["key"], ["doc_id"], low=("min", "c"), high=("max", "c"), a=("min", "doc_id")).where("low < high")
-    apart = saved(mixed.select("a", "doc_id", "c").distinct(), folder, "apart")
+    # what the stars left apart though it shares a bucket; a unit is a bucket, or several of the same members
+    named = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "a", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    mixed = named.groupBy("key", "a").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).where("low < high")
+    mixed = mixed.select("key", F.xxhash64("a", "n", "x").alias("unit"))
+    apart = saved(named.join(mixed, "key").select("unit", "a", "doc_id", "c").distinct(), folder, "apart")
     clusters = components(apart.select("a", F.col("doc_id").alias("b")), folder, "cluster").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    contested = apart.select("doc_id", "c").distinct().join(clusters, "doc_id").join(reps.select("doc_id", "n_shingles"), "doc_id")
-    more = saved(_links_between(saved(_blocked(contested, reps), folder, "contested"), docs, percent, k, hashes), folder, "block-links")
+    more = saved(_links_between(saved(_blocked(apart, clusters, reps), folder, "contested"), docs, percent, k, hashes), folder, "block-links")
 
-    # rows of a class that aren't its representative hang below it
-    # the first links count as the stars they came to, so only what the blocks added takes rounds
+    # the first links count as the stars they came to
     last = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), folder, "last")
-    for x in ("members", "star", "star-likely", "apart", "contested", "star-links", "block-links"):
+    for x in ("shared", "star", "star-likely", "apart", "contested", "star-links", "block-links"):
         remove(spark, f"{folder}/{x}")
+    # a class's component is that of its smallest id
+    named = reps.select("digest", "n_shingles", "doc_id").join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("digest", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     rows = profiles.select("doc_id", "n_shingles", "digest")
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    # a class's component is that of its smallest id
-    at = F.struct("doc_id", F.coalesce("component", "doc_id").alias("component")).alias("at")
-    named = rows.where(linked).join(last.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "digest", at)
-    named = beside_group(named, ["digest", "n_shingles"], ["doc_id"], first=("min", "at"))
-    out = named.select("doc_id", "n_shingles", F.col("first.component").alias("component_id"))
+    out = rows.where(linked).join(named, ["digest", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     out = out.union(rows.where(~linked).select("doc_id", "n_shingles", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: the row of the smallest doc_id; columns unchanged. Rows that repeat a doc_id are all kept or all dropped."""
-    gone = groups(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of each group, that of the smallest id (null last), of equal ids the one whose text comes first; columns unchanged.
+
+    Where ids are null or repeat, rows are numbered in that order and the numbers are the nodes, so a row never goes or stays for another row's sake.
+    """
+    again = docs.groupBy(id_col).count().where(F.col("count") > 1).limit(1).count() or docs.where(F.col(id_col).isNull()).limit(1).count()
+    if not again:
+        gone = groups(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
+        return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = whole.select("row", F.col(f"row.{id_col}").isNull().alias("none"), F.col(f"row.{id_col}").alias("id"), F.sha2(F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit("")), 256).alias("digest"))
+    numbered = running(whole, ["none", "id", "digest"], shared_dir(docs.sparkSession), "numbered").select("row", F.col("pos").alias("node"))
+    gone = groups(numbered.select("node", F.col(f"row.{text_col}").alias("text")), k, percent, "node").where(~F.col("kept")).select(F.col("doc_id").alias("node"))
+    return numbered.join(gone, "node", "left_anti").select("row.*")

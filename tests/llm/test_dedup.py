@@ -52,8 +52,9 @@ def test_near_duplicates_as_brute_force(spark, k, percent):
     assert sorted(x.doc_id for x in kept.collect()) == [x[0] for x in groups(rows, k, percent) if x[3]]
 
 
-def test_contested_clusters_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "SHINGLES_A_BLOCK", 200)
+@pytest.mark.parametrize("weight", [200, 2000, 2_000_000])
+def test_contested_clusters_are_compared_in_blocks(spark, monkeypatch, weight):
+    monkeypatch.setattr(near_duplicates, "SHINGLES_A_BLOCK", weight)
     monkeypatch.setattr(near_duplicates, "ROWS_A_BLOCK", 4)
     r = random.Random(1)
     base = [f"w{i}" for i in range(40)]
@@ -74,6 +75,15 @@ def test_empty_and_shared_ids(spark):
     assert near_duplicates.groups(df.limit(0), 3, 85).count() == 0
 
 
+def test_rows_that_share_an_id_are_kept_or_dropped_one_by_one(spark):
+    rows = [(1, "a b c d e f", 0), (2, "a b c d e f", 1), (2, "a text of its own", 2), (None, "a b c d e f", 3), (None, "only here and nowhere else", 4), (None, "only here and nowhere else", 5), (7, None, 6), (7, None, 7), (8, "q r s t u v", 8), (8, "q r s t u v", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    got = near_duplicates.drop_duplicates(df, 3, 85)
+    assert got.columns == df.columns
+    kept = sorted((tuple(x)[:2] for x in got.collect()), key=repr)
+    assert kept == sorted([(1, "a b c d e f"), (2, "a text of its own"), (None, "only here and nowhere else"), (7, None), (7, None), (8, "q r s t u v")], key=repr)
+
+
 def test_bands_keep_links():
     for percent in (70, 80, 85, 95):
         n, rows = near_duplicates.bands(percent)
