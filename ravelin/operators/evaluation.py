@@ -60,16 +60,34 @@ def trials(grid: dict[str, list[int]], spark) -> DataFrame:
 
 
 def run_trials(docs: DataFrame, configurations: DataFrame) -> DataFrame:
-    """Chunks that each valid configuration (a few rows) makes of all documents, and their number a document."""
-    n = F.greatest(F.ceil((F.char_length("text") - F.col("overlap")) / (F.col("size") - F.col("overlap"))), F.lit(1))
-    rows = docs.where(F.col("text").isNotNull()).select("text").crossJoin(F.broadcast(configurations.where("valid").limit(1000)))
-    return rows.groupBy("size", "overlap").agg(F.sum(n).cast("long").alias("n_chunks"), F.round(F.avg(n), 6).alias("per_document"))
+    """Chunks that each valid configuration makes of all documents, and their number a document. Documents are counted by length first, so configurations meet lengths and not documents."""
+    n = F.greatest(F.ceil((F.col("chars") - F.col("overlap")) / (F.col("size") - F.col("overlap"))), F.lit(1))
+    lengths = docs.where(F.col("text").isNotNull()).groupBy(F.char_length("text").alias("chars")).agg(F.count("*").alias("docs"))
+    rows = lengths.crossJoin(configurations.where("valid"))
+    return rows.groupBy("size", "overlap").agg(F.sum(n * F.col("docs")).cast("long").alias("n_chunks"), F.round(F.sum(n * F.col("docs")) / F.sum("docs"), 6).alias("per_document"))
+
+
+def label_metrics(ranked: DataFrame, labels: DataFrame, k: int, id_col: str) -> DataFrame:
+    """retrieval_metrics where a row is relevant to a query of the same label, itself left out: ranked (query_id, id, rank), labels (id, label). Labels of found rows are compared and labels counted, so nothing grows with the pairs of a label."""
+    of = lambda name, to: labels.select(F.col(id_col).alias(name), F.col("label").alias(to))
+    hit = (F.col("query_label") == F.col("own_label")).cast("int")
+    per = ranked.where(F.col("rank") <= k).join(of(id_col, "own_label"), id_col).join(of("query_id", "query_label"), "query_id")
+    per = per.groupBy("query_id", "query_label").agg(F.sum(hit).alias("hits"), F.min(F.when(hit == 1, F.col("rank"))).alias("first"))
+    total = labels.groupBy(F.col("label").alias("query_label")).agg((F.count("*") - 1).alias("n"))
+    hits = F.coalesce("hits", F.lit(0))
+    return per.join(total, "query_label", "left").select(
+        "query_id", F.round(hits / k, 6).alias("precision"), F.round(F.coalesce(hits / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0)), 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr")
+    )
 
 
-def token_f1(a: Column, b: Column) -> Column:
-    """F1 of two token arrays as multisets; 0 if either is empty. A proxy of factual correctness, not a judge's."""
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+def token_f1(pairs: DataFrame, ids: list[str]) -> DataFrame:
+    """ids and f1 of rows (ids, a, b) with two token arrays, as multisets; 0 if either is empty. Tokens are counted by groups, in time linear in their number. A proxy of factual correctness, not a judge's."""
+    sizes = pairs.select(*ids, F.size("a").alias("na"), F.size("b").alias("nb"))
+    each = lambda c, x, y: pairs.select(*ids, F.explode(c).alias("t"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    both = each("a", 1, 0).union(each("b", 0, 1)).groupBy(*ids, "t").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    both = both.groupBy(*ids).agg(F.sum(F.least("x", "y")).alias("both"))
+    f1 = F.when((F.col("na") == 0) | (F.col("nb") == 0), F.lit(0.0)).otherwise(2.0 * F.col("both") / (F.col("na") + F.col("nb")))
+    return sizes.join(both, ids, "left").select(*ids, F.coalesce(f1, F.lit(0.0)).alias("f1"))
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -80,14 +98,23 @@ def band(score: Column, baseline: float = 0.5, target: float = 0.7) -> Column:
     return F.when(score >= target, "target").when(score >= baseline, "baseline").otherwise("below")
 
 
+def lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by a row of bits: bit i is zero where one more token of ``a`` up to i is matched."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & where.get(y, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
 def rouge_l(a: list[str], b: list[str]) -> float:
     """F-measure of the longest common subsequence of tokens."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b)) if row[-1] else 0.0
+    n = lcs(a, b)
+    return 2 * n / (len(a) + len(b)) if n else 0.0
 
 
 def bleu(candidate: list[str], reference: list[str], n: int = 4) -> float:

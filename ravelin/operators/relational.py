@@ -70,8 +70,8 @@ def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def looked_up(df: DataFrame, codes: DataFrame, key: str, default: str) -> DataFrame:
-    """``df`` with the ``label`` of a small table of codes (key, label; at most 10,000 rows are taken as one), a default where it has none."""
-    return df.join(F.broadcast(codes.limit(10_000)), key, "left").withColumn("label", F.coalesce("label", F.lit(default)))
+    """``df`` with the ``label`` of a table of codes (key, label), a default where it has none. Spark broadcasts codes that are small by their size and shuffles others; none is left out."""
+    return df.join(codes, key, "left").withColumn("label", F.coalesce("label", F.lit(default)))
 
 
 def concatenated(df: DataFrame, by: list[str], order: str, text: Column, separator: str = "\n\n") -> DataFrame:

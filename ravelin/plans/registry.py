@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ravelin.functions import text as T
 from ravelin.operators import chunking, evaluation, memory, rag, relational, retrieval, transit
-from ravelin.operators.tools import Registry
 from ravelin.sources import readers, sinks
 from ravelin.streaming import events as E
 
@@ -158,27 +157,6 @@ def token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
-@query("select * from (values " + ", ".join(f"('{s}')" for s in SIGNATURES) + ") s(model), lateral (select 'result_' || substring(regexp_replace(model, '[^a-zA-Z0-9_.]', '_', 'g') || '.json', 1, 23) || '.json' as name), lateral (select replace(replace(name, 'result_', ''), '.json', '') as key)")
-def result_filename(spark, sf_dir):
-    m = readers.literal(spark, [(s,) for s in SIGNATURES], "model string").withColumn("name", T.result_name(F.col("model")))
-    return m.withColumn("key", T.model_key(F.col("name")))
-
-
-_STEPS = [(1, 'Action: Search\nAction Input: "rain"'), (2, "x Final Answer: a Final Answer: b "), (3, "nothing"), (4, "Action: Add\nAction Input: 3 4")]
-
-
-@query("select * from (values (1, 'Search', 'rain', cast(null as varchar)), (2, null, null, 'b'), (3, null, null, null), (4, 'Add', '3 4', null)) s(id, tool, input, answer)")
-def react_parse(spark, sf_dir):
-    s = readers.literal(spark, _STEPS, "id int, said string")
-    return s.select("id", T.action(F.col("said")).alias("tool"), T.action_input(F.col("said")).alias("input"), T.final_answer(F.col("said")).alias("answer"))
-
-
-@query("select * from (values (1, 'q one', 'a one'), (1, 'q two', 'a two')) s(id, question, answer)")
-def qa_parse(spark, sf_dir):
-    s = readers.literal(spark, [(1, "[Q]: q one\n[A]: a one\n[Q]: q two [A]: a two"), (2, "none")], "id int, said string")
-    return s.select("id", F.explode(T.qa_pairs(F.col("said"))).alias("p")).select("id", "p.question", "p.answer")
-
-
 # retrieval
 
 _BM25 = f"""with t as (select doc_id, {tokens_sql('text')} as t from documents), l as (select doc_id, len(t) as len, t from t),
@@ -225,8 +203,7 @@ def retrieval_metrics(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     q = v.where("vec_id % 50 = 0")
     near = retrieval.nearest(v, q, 5)
-    label = q.select(F.col("vec_id").alias("query_id"), "label").join(v.select("vec_id", "label"), "label").where("query_id <> vec_id").select("query_id", "vec_id")
-    return evaluation.retrieval_metrics(near, label, 5, "vec_id")
+    return evaluation.label_metrics(near, v.select("vec_id", "label"), 5, "vec_id")
 
 
 def _mmr_sql(k: int) -> str:
@@ -335,15 +312,6 @@ def agent_rounds(spark, sf_dir):
     return rag.agent_rounds(tasks, decide, {"Length": lambda c: F.char_length(c).cast("string")}).select("id", F.array_join("trace", ";").alias("trace"), "answer")
 
 
-@query("select * from (values (1, 0, 'add', '7'), (1, 1, 'upper', 'AB'), (2, 0, 'nope', 'no such tool')) s(id, place, tool, observation)")
-def tool_dispatch(spark, sf_dir):
-    r = Registry()
-    r.tool("add", "sum of two integers", "a int, b int")(lambda x: x["a"] + x["b"])
-    r.tool("upper", "capitals", "text string")(lambda x: F.upper(x["text"]))
-    steps = readers.literal(spark, [(1, [("add", '{"a": 3, "b": 4}'), ("upper", '{"text": "ab"}')]), (2, [("nope", "{}")])], "id int, actions array<struct<tool: string, input: string>>")
-    return r.run_all(steps)
-
-
 # joins, sets and aggregates
 
 
@@ -379,26 +347,6 @@ def model_unpivot(spark, sf_dir):
     return relational.answers_long(model_pivot(spark, sf_dir).select("source", "de", "en"), ["de", "en"], "source")
 
 
-@query(f"""with b as (select * from {_SCORES_SQL} where model = 'gpt_4o_mini')
-    select s.model, round((s.faithfulness + s.factual) / 2, 6) as combined, round((s.faithfulness - b.faithfulness) / b.faithfulness * 100, 4) as faith_diff, round((s.factual - b.factual) / b.factual * 100, 4) as fact_diff,
-    round(s.faithfulness / s.factual, 6) as ratio, case when not starts_with(s.model, 'deepseek') then round(s.faithfulness / s.params, 6) end as faith_per_b, case when not starts_with(s.model, 'deepseek') then round(s.factual / s.params, 6) end as fact_per_b from (select model, cast(params as double) as params, cast(faithfulness as double) as faithfulness, cast(factual as double) as factual from {_SCORES_SQL}) s,
-    (select cast(faithfulness as double) as faithfulness, cast(factual as double) as factual from b) b""")
-def model_leaderboard(spark, sf_dir):
-    return evaluation.leaderboard(readers.literal(spark, SCORES, "model string, params double, faithfulness double, factual double"), "gpt_4o_mini", ("deepseek",))
-
-
-@query(f"select round(regr_slope(faithfulness, params), 6) as slope, round(regr_intercept(faithfulness, params), 6) as intercept, round(regr_r2(faithfulness, params), 6) as r2 from (select cast(params as double) as params, cast(faithfulness as double) as faithfulness from {_SCORES_SQL} where not starts_with(model, 'deepseek'))")
-def scaling_regression(spark, sf_dir):
-    s = readers.literal(spark, SCORES, "model string, params double, faithfulness double, factual double")
-    return evaluation.regression(s.where(~F.col("model").startswith("deepseek")), "faithfulness", "params")
-
-
-@query(f"select model, upper(left(split_part(model, '_', 1), 1)) || lower(substring(split_part(model, '_', 1), 2)) || ' (' || params || 'B)' as label from (select model, cast(params as double) as params from {_SCORES_SQL})")
-def display_labels(spark, sf_dir):
-    s = readers.literal(spark, SCORES, "model string, params double, faithfulness double, factual double")
-    return s.select("model", T.display_label(F.col("model"), F.col("params")).alias("label"))
-
-
 @query("select md5(text) as digest, min(doc_id) as first_position from documents group by 1")
 def exact_dedup(spark, sf_dir):
     return relational.distinct_in_order(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest")), "digest", "doc_id")
@@ -469,7 +417,8 @@ def _pairs(spark, sf_dir):
 @query(f"""with p as (select conv_id, turn, {tokens_sql('candidate')} as a, {tokens_sql('reference')} as b from ({_PAIRS}))
     select conv_id, turn, round(case when len(a) = 0 or len(b) = 0 then 0.0 else 2.0 * list_sum([least(len(list_filter(a, lambda x: x = t)), len(list_filter(b, lambda x: x = t))) for t in list_distinct(a)]) / (len(a) + len(b)) end, 6) as f1 from p""")
 def token_f1(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(evaluation.token_f1(T.tokens(F.col("candidate")), T.tokens(F.col("reference"))), 6).alias("f1"))
+    p = _pairs(spark, sf_dir).select("conv_id", "turn", T.tokens(F.col("candidate")).alias("a"), T.tokens(F.col("reference")).alias("b"))
+    return evaluation.token_f1(p, ["conv_id", "turn"]).withColumn("f1", F.round("f1", 6))
 
 
 @query()
@@ -512,32 +461,12 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("select * from (values (1, 1800), (2, 1800)) s(id, fare)")
-def itinerary_pick(spark, sf_dir):
-    kind = "id int, its array<struct<fare: struct<regular: struct<totalFare: int>>, legs: array<struct<mode: string>>>>"
-    trip = lambda fare, *modes: (((fare,),), [(m,) for m in modes])
-    rows = [(1, [trip(2100, "BUS"), trip(1800, "SUBWAY"), trip(1500, "BUS")]), (2, [trip(1800, "SUBWAY"), trip(1500, "SUBWAY")])]
-    return readers.literal(spark, rows, kind).select("id", transit.pick_itinerary(F.col("its"))["fare"]["regular"]["totalFare"].alias("fare"))
-
-
 @query("select * from (values (1, 0, 'WALK', 'home', '하단역'), (1, 1, 'SUBWAY', '하단역', '남포역'), (1, 2, 'WALK', '남포역', 'shop')) s(trip, n, mode, start, \"end\")")
 def leg_suffix(spark, sf_dir):
     rows = [(1, 0, "WALK", "home", "하단"), (1, 1, "SUBWAY", "하단", "남포경찰서"), (1, 2, "WALK", "남포", "shop")]
     return transit.named_legs(readers.literal(spark, rows, "trip int, n int, mode string, start string, end string"))
 
 
-@query("select * from (values (1, 2, 'left at 3번 출구'), (1, 3, 'straight')) s(leg, n, description)")
-def steps_from_exit(spark, sf_dir):
-    rows = [(1, 1, "down the stairs"), (1, 2, "left at 3번 출구"), (1, 3, "straight"), (2, 1, "nothing")]
-    return transit.steps_from(readers.literal(spark, rows, "leg int, n int, description string"))
-
-
-@query("select * from (values ('adult', 1450, 1650)) s(age, one, two)")
-def fare_lookup(spark, sf_dir):
-    table_ = readers.literal(spark, [("child", 0, 0), ("youth", 1050, 1200), ("adult", 1450, 1650), ("senior", 0, 0)], "age string, one int, two int")
-    return transit.fares(table_, ["adult"])
-
-
 @query(rf"""select printf('%s_chunk_%03d.md', stem, n) as name, md5(printf('# %s chunk %d', stem, n) || chr(10) || chr(10) || '## Metadata' || chr(10) || chr(10) || '- filename: ' || source || '.md' || chr(10) || chr(10) || '## Content' || chr(10) || chr(10) || text || chr(10)) as digest
     from (select *, row_number() over (partition by stem order by doc_id, chunk_no) as n from (select c.*, source, regexp_replace(regexp_replace(source || '.md', '[\\/:*?"<>|]', '_', 'g'), '\.[^.]*$', '') as stem from ({_CHUNKS}) c join documents d using (doc_id)))""")
 def markdown_chunk_files(spark, sf_dir):
@@ -590,12 +519,6 @@ def joined_alternatives(spark, sf_dir):
 LOCAL, HOSTED = SIGNATURES[3:6], SIGNATURES[:3]
 
 
-@query("select model, case when model like '%gpt%' then 'openai' when model in (" + ", ".join(f"'{m}'" for m in LOCAL) + ") then 'local' when model in (" + ", ".join(f"'{m}'" for m in HOSTED) + ") then 'openrouter' end as provider from (values " + ", ".join(f"('{m}')" for m in [*SIGNATURES, "other"]) + ") s(model)")
-def model_routing(spark, sf_dir):
-    m = readers.literal(spark, [(x,) for x in [*SIGNATURES, "other"]], "model string")
-    return m.select("model", T.provider(F.col("model"), LOCAL, HOSTED).alias("provider"))
-
-
 @query("select item_id as id, substring(text, 1, 40) as user_input, 'a' as response, md5(text) as context, 1 as n_contexts, substring(text, 1, 10) as reference from benchmark")
 def eval_records(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("q"), F.lit("a").alias("a"), "text", F.substring("text", 1, 10).alias("r"))
@@ -651,12 +574,6 @@ def configuration_trials(spark, sf_dir):
     return evaluation.run_trials(table(spark, sf_dir, "documents"), evaluation.trials(_GRID, spark))
 
 
-@query("select cast(id as int) as id, said from (values (1, '1. go' || chr(10) || '2. turn'), (2, '')) s(id, said)")
-def numbered_sentences(spark, sf_dir):
-    rows = readers.literal(spark, [(1, ["go", None, "turn"]), (2, [])], "id int, steps array<string>")
-    return rows.select("id", transit.sentences(F.col("steps")).alias("said"))
-
-
 # round trips through files
 
 _FACTS = "select doc_id, lang, source, n_chars from documents"
@@ -695,3 +612,6 @@ def train_test_files(spark, sf_dir):
     sinks.train_test(_facts(spark, sf_dir), path, 0.8, ["doc_id"])
     parts = [spark.read.parquet(f"{path}/{x}").withColumn("part", F.lit(x)) for x in ("train", "test")]
     return parts[0].unionByName(parts[1]).groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+from ravelin.plans import derived as _derived  # noqa: E402, F401  registers its queries

@@ -12,7 +12,7 @@ DOCUMENT = "text string, metadata map<string,string>"
 
 def markdown(spark: SparkSession, folder: str, recursive: bool = True, pattern: str = "*.md") -> DataFrame:
     """Whole UTF-8 files as documents with source and filename metadata (also for exported notes)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     name = F.col("_metadata.file_path")
     return files.select(F.col("value").alias("text"), F.create_map(F.lit("source"), name, F.lit("filename"), F.col("_metadata.file_name")).alias("metadata"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,12 +47,20 @@ def pretty_json(c: Column) -> Column:
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose keys the collection at ``path`` doesn't hold yet; sending rows again adds nothing."""
+    """Append the rows whose keys the collection at ``path`` doesn't hold yet; sending rows again adds nothing, null keys included.
+
+    Of rows that share their keys the one with the least digest of all its columns is taken, the same at every send.
+    """
     from ravelin.sources.readers import collection
 
     held = collection(df.sparkSession, path)
-    df = df.dropDuplicates(keys)
-    (df if held is None else df.join(held.select(*keys), keys, "left_anti")).write.mode("append").parquet(path)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    df = df.groupBy(*keys).agg(F.min_by(whole, F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)).alias("row")).select("row.*")
+    if held is not None:
+        old = held.select(*[F.col(k).alias(f"held_{k}") for k in keys]).distinct()
+        same = reduce(lambda x, y: x & y, [df[k].eqNullSafe(old[f"held_{k}"]) for k in keys])
+        df = df.join(old, same, "left_anti")
+    df.write.mode("append").parquet(path)
 
 
 def markdown_chunks(chunks: DataFrame) -> DataFrame:
@@ -70,5 +79,7 @@ def page_names(pages: DataFrame) -> DataFrame:
 
 
 def text_files(named: DataFrame, path: str) -> None:
-    """Write (name, body) rows as text, one folder a name, without collecting them."""
-    named.select("name", F.col("body").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    """Write (name, body) rows as files of those names."""
+    from ravelin.sources import named_files
+
+    named_files.write(named, path)
