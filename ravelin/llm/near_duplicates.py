@@ -5,9 +5,9 @@
    held by its smallest doc_id; only such representatives go on.
 2. Representatives that share a band key are candidates. A bucket gives one star first: its
    smallest member with each other. Members that are still in different components after that
-   form clusters by the buckets they share. A cluster of a bounded weight is compared in one task; a
-   heavier one is taken apart into its buckets again (equal buckets once), and a bucket that is too heavy itself is cut by a
-   hash of the id into blocks, two of which are compared in a task. Only rows that share a band key are compared, and not if the
+   form clusters by the buckets they share. A cluster is cut by a hash of the id into blocks of a bounded weight, two
+   of which are compared in a task. One of more blocks than there are bands is taken apart into its buckets again first
+   (equal buckets once), so a row is copied for the blocks of its buckets and not of the cluster. Only rows that share a band key are compared, and not if the
    task has linked them already. Pairs never become rows there, only links do, and no pair is dropped.
 3. A candidate's signatures are compared batch by batch. After n hashes with m agreements the
    similarity has a Beta(m + 1, n - m + 1) posterior under a flat prior; the pair is pruned once
@@ -209,15 +209,15 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
-def _blocked(apart: DataFrame, clusters: DataFrame, reps: DataFrame) -> DataFrame:
+def _blocked(apart: DataFrame, clusters: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     """Deal the contested rows (unit, doc_id, c) to groups and blocks of about a bounded weight and give every row, with its bands and signature, to each pair of blocks it is in: large, g, i, j and block.
 
-    A group is a cluster, or each unit (a bucket) of a cluster that is too heavy for one task.
+    A group is a cluster, whose rows are copied once a block; a cluster of over ``most`` blocks is taken apart into its units (buckets), of which a row has no more than it has bands.
     """
     weight = lambda rows: rows.join(rows.groupBy("g").agg(F.sum("w").alias("weight")), "g")
     w = (F.col("n_shingles") + int(SHINGLES_A_BLOCK / ROWS_A_BLOCK)).alias("w")
     rows = apart.select("doc_id", "c").distinct().join(clusters.withColumnRenamed("cluster", "g"), "doc_id").join(reps.select("doc_id", w), "doc_id")
-    rows = weight(rows).withColumn("large", F.col("weight") > SHINGLES_A_BLOCK)
+    rows = weight(rows).withColumn("large", F.col("weight") > most * SHINGLES_A_BLOCK)
     by_unit = rows.where("large").select("doc_id", "c", "w").join(apart.select("doc_id", F.col("unit").alias("g")).distinct(), "doc_id")
     rows = rows.where("not large").select("large", "g", "doc_id", "c", "weight").union(weight(by_unit).select(F.lit(True), "g", "doc_id", "c", "weight"))
     rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("weight") / SHINGLES_A_BLOCK)).cast("int"))
@@ -299,7 +299,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     mixed = mixed.select("key", F.xxhash64("a", "n", "x").alias("unit"))
     apart = saved(named.join(mixed, "key").select("unit", "a", "doc_id", "c").distinct(), folder, "apart")
     clusters = components(apart.select("a", F.col("doc_id").alias("b")), folder, "cluster").withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    more = saved(_links_between(saved(_blocked(apart, clusters, reps), folder, "contested"), docs, percent, k, hashes), folder, "block-links")
+    more = saved(_links_between(saved(_blocked(apart, clusters, reps, n), folder, "contested"), docs, percent, k, hashes), folder, "block-links")
 
     # the first links count as the stars they came to
     last = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), folder, "last")
