@@ -15,13 +15,20 @@ ITEMS = [(1, "one two"), (2, RUN[:80]), (3, None), (4, "..."), (5, "É sea"), (1
 
 @pytest.fixture(scope="module")
 def tables(tmp_path_factory):
-    """A folder with documents and benchmark, written by DuckDB."""
+    """A folder with documents, benchmark, conversations and embeddings, written by DuckDB."""
     con, path = duckdb.connect(), tmp_path_factory.mktemp("tables")
     con.sql("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
     con.executemany("insert into documents values (?, ?, ?, ?, ?)", [(k, t, None if k % 5 == 0 else "en", [None, "a", "b"][k % 3], len(t or "")) for k, t in enumerate(TEXTS)])
     con.sql("create table benchmark (item_id bigint, text varchar)")
     con.executemany("insert into benchmark values (?, ?)", ITEMS)
-    for t in ("documents", "benchmark"):
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    turns = [(c, None if t == 2 and c % 4 == 0 else t, [None, "user", "bot"][(c + t) % 3], [None, "", "a  b", "Ü x\ny"][c * t % 4]) for c in [*range(0, 25), 40, 41, 63] for t in range(c % 5)]
+    con.executemany("insert into conversations values (?, ?, ?, ?)", [*turns, turns[5], (None, 0, "user", "lost")])
+    con.sql("create table embeddings (vec_id bigint, embedding float[], label integer)")
+    vectors = [(k, [((k * 37 + d * 11) % 19 - 9) / 8 for d in range(4)], k % 3) for k in range(0, 160)]
+    vectors += [(200, None, 1), (250, [1.0, None, 0.0, 0.0], 1), (300, [float("nan"), 0.0, 0.0, 0.0], 1), (350, [1.0, 1.0, 0.0, 0.0], None), vectors[50], vectors[3]]
+    con.executemany("insert into embeddings values (?, ?, ?)", vectors)
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"copy {t} to '{path}/{t}.parquet' (format parquet)")
     return con, str(path)
 
