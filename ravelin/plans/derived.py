@@ -14,8 +14,9 @@ from ravelin.streaming import chat
 
 
 def _pick(names: list[str], number: str):
-    """One of the names by a number: as a column and as SQL."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(number) % len(names) + 1).cast("int")), "[" + ", ".join(f"'{n}'" for n in names) + f"][{number} % {len(names)} + 1]"
+    """One of the names by a number: what makes the column (there is no session yet when this is imported), and SQL."""
+    made = lambda: F.element_at(F.array(*[F.lit(n) for n in names]), (F.col(number) % len(names) + 1).cast("int"))
+    return made, "[" + ", ".join(f"'{n}'" for n in names) + f"][{number} % {len(names)} + 1]"
 
 
 _SIGNATURE, _SIGNATURE_SQL = _pick(SIGNATURES, "event_id")
@@ -25,18 +26,18 @@ _MODEL, _MODEL_SQL = _pick([m for m, *_ in SCORES], "event_id")
 
 @query(f"""select event_id, name, replace(replace(name, 'result_', ''), '.json', '') as key from (select event_id, 'result_' || substring(regexp_replace(model, '[^a-zA-Z0-9_.]', '_', 'g') || '.json', 1, 23) || '.json' as name from (select event_id, user_id || '-' || {_SIGNATURE_SQL} as model from events))""")
 def result_filename(spark, sf_dir):
-    m = table(spark, sf_dir, "events").select("event_id", T.result_name(F.concat(F.col("user_id").cast("string"), F.lit("-"), _SIGNATURE)).alias("name"))
+    m = table(spark, sf_dir, "events").select("event_id", T.result_name(F.concat(F.col("user_id").cast("string"), F.lit("-"), _SIGNATURE())).alias("name"))
     return m.withColumn("key", T.model_key(F.col("name")))
 
 
 @query("select event_id, case when model like '%gpt%' then 'openai' when model in (" + ", ".join(f"'{m}'" for m in LOCAL) + ") then 'local' when model in (" + ", ".join(f"'{m}'" for m in HOSTED) + f") then 'openrouter' end as provider from (select event_id, {_ROUTED_SQL} as model from events)")
 def model_routing(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", T.provider(_ROUTED, LOCAL, HOSTED).alias("provider"))
+    return table(spark, sf_dir, "events").select("event_id", T.provider(_ROUTED(), LOCAL, HOSTED).alias("provider"))
 
 
 @query(f"select event_id, upper(left(split_part(model, '_', 1), 1)) || lower(substring(split_part(model, '_', 1), 2)) || ' (' || params || 'B)' as label from (select event_id, {_MODEL_SQL} as model, cast(user_id % 90 as double) + 0.5 as params from events)")
 def display_labels(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", _MODEL.alias("model"), ((F.col("user_id") % 90).cast("double") + 0.5).alias("params"))
+    e = table(spark, sf_dir, "events").select("event_id", _MODEL().alias("model"), ((F.col("user_id") % 90).cast("double") + 0.5).alias("params"))
     return e.select("event_id", T.display_label(F.col("model"), F.col("params")).alias("label"))
 
 
