@@ -10,11 +10,13 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 Generate = Callable[[list[str]], list[str]]
 Embed = Callable[[list[str]], list[list[float]]]
@@ -88,9 +90,47 @@ def generate(df: DataFrame, prompt: str, model: Generate = extractive, tries: in
     return df.mapInArrow(run, f"{schema}, answer string, error string")
 
 
+def checked_json(answer: Column, schema: str) -> Column:
+    """The record of a JSON answer; null for what isn't JSON, isn't of the schema or leaves out one of its fields."""
+    kept = StructType.fromDDL(schema)
+    got = F.from_json(answer, StructType([*kept.fields]).add("_bad", "string"), {"columnNameOfCorruptRecord": "_bad"})
+    whole = reduce(lambda x, f: x & got[f.name].isNotNull(), kept.fields, got["_bad"].isNull())
+    return F.when(whole, F.struct(*[got[f.name].alias(f.name) for f in kept]))
+
+
 def structured(df: DataFrame, column: str, schema: str, empty: dict) -> DataFrame:
     """``parsed`` from a column of JSON answers; what doesn't parse is the empty record."""
-    return df.withColumn("parsed", F.coalesce(F.from_json(column, schema), F.from_json(F.lit(json.dumps(empty)), schema)))
+    return df.withColumn("parsed", F.coalesce(checked_json(F.col(column), schema), F.from_json(F.lit(json.dumps(empty)), schema)))
+
+
+def rewritten(rows: DataFrame, prompt: str, schema: str, path: str, strict: Generate, plain: Generate | None = None, keys: tuple[str, ...] = ("id",), batch: int = 32) -> DataFrame:
+    """Rewrite rows into records, as far as earlier runs haven't: keys, parsed, error and tries of all rows at ``path`` that have a record or failed in this run.
+
+    Rows are asked of ``strict`` (which should answer in JSON). Those alone whose call fails or whose answer isn't a record of ``schema`` are asked once more, of ``plain``
+    if given. What fails twice has a null record and the last error, is not appended, so the next run tries it again, and is a line of the run's error list under
+    ``path``/errors. Records are appended to ``path``/done by key, so a run that dies and starts again repeats no record. A null prompt fails without a call.
+    """
+    from ravelin.sources import sinks
+    from ravelin.sources.readers import collection
+
+    spark, folder, at = rows.sparkSession, sinks.scratch(rows.sparkSession), [f"`{k}`" for k in keys]
+    held = collection(spark, f"{path}/done")
+    if held is not None:
+        old = held.select(*[F.col(k).alias(f"held_{n}") for n, k in enumerate(at)])
+        rows = rows.join(old, reduce(lambda x, y: x & y, [rows[k].eqNullSafe(old[f"held_{n}"]) for n, k in enumerate(keys)]), "left_anti")
+    # answers are written before they are looked at, so that no call is made twice
+    asked = rows.select(*at, F.col(prompt).alias("prompt"))
+    for n, model in ((1, strict), (2, plain or strict)):
+        said = generate(asked, "prompt", model, tries=1, batch=batch, skip_null=True).withColumn("parsed", checked_json(F.col("answer"), schema))
+        wrong = F.when(F.col("prompt").isNull(), "no prompt").otherwise(F.coalesce("error", F.lit("not a record")))
+        said.select(*at, "prompt", "parsed", F.when(F.col("parsed").isNull(), wrong).alias("error"), F.lit(n).alias("tries")).write.parquet(f"{folder}/{n}")
+        asked = spark.read.parquet(f"{folder}/{n}").where("parsed is null").select(*at, "prompt")
+    first, second = (spark.read.parquet(f"{folder}/{n}") for n in (1, 2))
+    got = first.where("parsed is not null").unionByName(second).drop("prompt")
+    sinks.append_new(got.where("parsed is not null"), f"{path}/done", list(keys))
+    failed = got.where("parsed is null")
+    failed.select(F.concat(F.to_json(F.struct(*at)), F.lit("\t"), "error").alias("value")).write.mode("append").text(f"{path}/errors")
+    return spark.read.parquet(f"{path}/done").unionByName(failed)
 
 
 def hyde_vector(hypothetical: list[str], model: Embed = hashed_embedding) -> list[float]:

@@ -130,15 +130,26 @@ def page_documents(spark, sf_dir):
     return d.select(F.col("metadata")["url"].alias("url"), F.col("metadata")["title"].alias("title"), F.char_length("text").alias("n_chars"))
 
 
-@query(r"""with e as (select distinct url, regexp_extract(url, '^(https?://[^/]+)', 1) || link as target from (select url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1)) as link from pages)),
-    a as (select url from pages order by page_id limit 3), b as (select distinct target as url from e join a using (url) where target not in (select url from a)),
-    c as (select distinct target as url from e join b using (url) where target not in (select url from a) and target not in (select url from b))
-    select url, cast(depth as int) as depth from (select url, 0 as depth from a union all select url, 1 from b union all select url, 2 from c) order by depth, url limit 10""")
+_EDGES = r"""select url, regexp_extract(url, '^(https?://[^/]+)', 1) || links[i + 1] as target, i + 10 as place from (select url, links, unnest(range(len(links))) as i from (select url, regexp_extract_all(html, '(?i)<a\s[^>]*href=["'']([^"''#]+)', 1) as links from pages))
+    union all select a.url, b.url, cast(j as bigint) from pages a, (values (1), (2), (3)) s(j) join pages b on b.page_id = 2 * a.page_id + j"""
+
+
+@query(rf"""with e as (select url, target, row_number() over (partition by url order by place, target) as k from (select url, target, min(place) as place from ({_EDGES}) where target <> url and target like '%.com/%' group by all)),
+    f as (select url, target, k from e where k <= 10),
+    a as (select url as start, url, 0 as depth, cast([] as bigint[]) as path from pages),
+    b as (select a.start, f.target as url, 1 as depth, min(list_append(a.path, f.k)) as path from a join f using (url) group by all),
+    b1 as (select * from b where (start, url) not in (select (start, url) from a)),
+    c as (select b1.start, f.target as url, 2 as depth, min(list_append(b1.path, f.k)) as path from b1 join f using (url) group by all),
+    c1 as (select * from c where (start, url) not in (select (start, url) from a) and (start, url) not in (select (start, url) from b1)),
+    s as (select *, row_number() over (partition by start order by depth, path) as visit from (select * from a union all select * from b1 union all select * from c1))
+    select start, url, cast(depth as int) as depth, cast(visit as int) as visit from s where visit <= 10""")
 def crawl(spark, sf_dir):
+    """A walk from every page, over its links and three more to other pages that are made from its id."""
     p = table(spark, sf_dir, "pages")
-    edges = readers.links(p).select("url", F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), "target").alias("target"))
-    start = [r.url for r in p.orderBy("page_id").limit(3).collect()]
-    return readers.crawl(edges, start, depth=2, most=10)
+    own = readers.links(p).select("url", F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), "target").alias("target"), (F.col("place") + 10).alias("place"))
+    to = p.select("url", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("place"), "page_id").select("url", "place", (2 * F.col("page_id") + F.col("place")).alias("page_id"))
+    made = to.join(p.select(F.col("url").alias("target"), "page_id"), "page_id").select("url", "target", "place")
+    return readers.crawl(own.unionByName(made), p.select("url"), depth=2, most=10, like="%.com/%")
 
 
 @query("select doc_id, md5(list_aggregate(list_filter(string_split(replace(text, chr(9), ' '), chr(10)), lambda x: trim(x) <> ''), 'string_agg', chr(10))) as digest from documents")
@@ -614,4 +625,4 @@ def train_test_files(spark, sf_dir):
     return parts[0].unionByName(parts[1]).groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
-from ravelin.plans import derived as _derived  # noqa: E402, F401  registers its queries
+from ravelin.plans import answering as _answering, derived as _derived  # noqa: E402, F401  they register their queries

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -64,21 +64,36 @@ def pages_as_documents(pages: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(url, target) of every link of stored pages."""
-    return pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href=["']([^"'#]+)"""), F.lit(1))).alias("target"))
-
-
-def crawl(edges: DataFrame, start: list[str], depth: int = 2, most: int = 10, host: str | None = None) -> DataFrame:
-    """(url, depth) reached breadth first over stored link edges: at most ``most`` pages, by depth, then url."""
-    spark = edges.sparkSession
-    edges = edges.where(F.expr("parse_url(target, 'HOST')") == host) if host else edges
-    seen = spark.createDataFrame([(u, 0) for u in start], "url string, depth int")
-    front = seen
+    """(url, target, place) of every link of stored pages, in page order."""
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href=["']([^"'#]+)"""), F.lit(1))
+    return pages.select("url", F.posexplode(found).alias("place", "target")).select("url", "target", "place")
+
+
+def crawl(edges: DataFrame, starts: DataFrame, depth: int = 2, most: int = 10, like: str | None = None, same_host: bool = False) -> DataFrame:
+    """(start, url, depth, visit): the pages that a breadth-first walk over stored links (url, target, place) visits from each url of ``starts``, at most ``most``, in that order.
+
+    Links are followed in the order of their places, those whose target is ``like`` a pattern and, if asked, on the host of the start; a page is visited once a start.
+    Nothing goes through the driver, and all starts walk at once. Of a page's links only the first ``most`` can lead to a visit, as those alone fill it; of a level's pages
+    likewise. So a start never has more than ``most`` times ``most`` rows. (A recursive query can't drop what an earlier level saw, and is bounded by a session's row limit.)
+    Links without a target and starts without a url lead nowhere.
+    """
+    edges = edges.where("target is not null and target <> url")
+    edges = edges.where(F.col("target").like(like)) if like else edges
+    if same_host:
+        host = lambda c: F.expr(f"try_parse_url({c}, 'HOST')")
+        edges = edges.where(host("target") == host("url"))  # every page of a walk is on the start's host
+    edges = edges.groupBy("url", "target").agg(F.min("place").alias("place"))
+    edges = edges.withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy("place", "target"))).where(F.col("k") <= most).select("url", "target", "k")
+    front = starts.where("url is not null").select(F.col("url").alias("start"), "url", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path")).distinct()
+    seen = front
     for d in range(1, depth + 1):
-        step = edges.join(front.select("url"), "url").select(F.col("target").alias("url")).distinct()
-        front = step.join(seen.select("url"), "url", "left_anti").select("url", F.lit(d).alias("depth"))
+        step = front.join(edges, "url").groupBy("start", F.col("target").alias("url")).agg(F.min(F.concat("path", F.array("k"))).alias("path"))
+        new = step.join(seen.select("start", "url"), ["start", "url"], "left_anti")
+        new = new.withColumn("k", F.row_number().over(Window.partitionBy("start").orderBy("path"))).where(F.col("k") <= most)
+        front = new.select("start", "url", F.lit(d).alias("depth"), "path")
         seen = seen.unionByName(front)
-    return seen.orderBy("depth", "url").limit(most)
+    visit = F.row_number().over(Window.partitionBy("start").orderBy("depth", "path"))
+    return seen.select("start", "url", "depth", visit.alias("visit")).where(F.col("visit") <= most)
 
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
