@@ -15,13 +15,15 @@ their innermost named element, where two labelled pages or more show them; names
 Boilerplate is left out wherever it stands: menus, page headers and footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments. An element is told by its tag or role, by a
 class or id name of the fixed words below (a compound needs every part to be one of them, so
-``cookie-notice`` is one and ``social-science``, ``no-sidebar`` and ``ad-free`` are none), or by a
-name that labelled pages have outside of their articles only. The evidence is the element's own: one
+``cookie-notice`` is one and ``social-science``, ``no-sidebar`` and ``ad-free`` are none). Words that
+sections of a text bear as well (``MILD``) tell it only where links make most of its words, or it takes input or
+holds three parts of one name. A name that labelled pages have outside of their articles only tells elements of
+an eighth of the page's words at most; in longer ones it lowers the score of a word. The evidence is the element's own: one
 that holds most of a page's words is a container and never left out (reader comments are, beside
 a text of ``BESIDE`` words).
 
 A page that marks its article keeps what is marked, all of several marked parts but those that are
-mostly links, and nothing else. On other pages the scan decides.
+mostly links, and a heading <h1> right before it if it has none; nothing else. On other pages the scan decides.
 
 Block elements cut the text into blocks, <br> is white space. Character references are decoded,
 white space in a block becomes one space, blocks are joined by one newline. Reading a page takes time
@@ -59,6 +61,11 @@ ROLES = frozenset("navigation banner complementary contentinfo search form dialo
 #: Parts of class and id names that tell boilerplate, those that tell reader comments, and those that say nothing.
 TELLING = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs consent cookie cookies footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related recommended search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond responses discussion".split())
+#: Those of them that sections of a text bear as well; alone they need more than the name.
+MILD = frozenset("promotion promoted related recommended discussion replies reply respond response responses".split())
+#: Elements that hold one teaser or one reader's comment each, and those that take input.
+UNITS = frozenset("article div li section dd tr".split())
+INPUTS = frozenset("t:form t:input t:textarea t:select".split())
 NEUTRAL = frozenset("site main page global top bottom left right side upper lower primary secondary list lists box block area section container wrapper wrap inner outer bar links link posts articles stories items item form buttons button icons media overlay thread 1 2 3".split())
 #: What ends when an element begins: an unclosed paragraph, item, cell or row.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
@@ -69,19 +76,25 @@ IN_TAG = re.compile(r"[\"'>]")
 CLOSE = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW}
 #: Hundredths: words of which labelled pages say nothing, links, tags, an element left out.
 WORD, LINK, TAG, DROP = 100, -50, -5, -20
+#: The same for words that only a learnt name speaks against.
+LOW = 10
 #: Bounds of fitted weights of words and tags.
 WORDS, TAGS = (-100, 100), (-100, TAG)
 #: Logarithm below which a name is boilerplate by the labelled pages.
 OUTSIDE = -2.0
+#: The part of a page's words that an element may hold and be left out for a name that labelled pages alone tell: one in so many.
+LEARNT = 8
 #: Words beside which reader comments are left out however long they are.
 BESIDE = 20
 
 
 def boilerplate_name(name: str) -> str:
-    """``comments``, ``other`` or nothing, by the parts of a class or id name."""
+    """``comments``, ``other``, ``mild`` or nothing, by the parts of a class or id name."""
     parts = [p for p in re.split(r"[_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if p]
     if not parts or not all(p in TELLING or p in COMMENTS or p in NEUTRAL for p in parts):
         return ""
+    if len(parts) == 1 and parts[0] in MILD:
+        return "mild"
     if any(p in COMMENTS for p in parts):
         return "comments"
     return "other" if any(p in TELLING for p in parts) else ""
@@ -243,16 +256,41 @@ class Page:
             told = "other"
         if not told or told == "other":
             by_name = {boilerplate_name(x) for x in names}
-            told = "comments" if "comments" in by_name else "other" if "other" in by_name else told
+            told = "comments" if "comments" in by_name else "other" if "other" in by_name else told or ("mild" if "mild" in by_name else "")
         for held, x in ((self.name, name), (self.names, names), (self.near, names or self.near[parent]), (self.first, len(self.kind)), (self.last, 0), (self.told, told)):
             held.append(x)
 
     def _sum(self, sums: list[int], e: int) -> int:
         return sums[self.last[e]] - sums[self.first[e]]
 
+    def _collected(self, e: int) -> bool:
+        """Whether an element takes input or holds three parts or more of one name, as lists of teasers and comments do."""
+        if not INPUTS.isdisjoint(self.kind[self.first[e] : self.last[e]]):
+            return True
+        units: Counter = Counter()
+        for x in range(e + 1, len(self.name)):
+            if self.first[x] >= self.last[e]:
+                break
+            if self.name[x] in UNITS and self.names[x]:
+                units[self.name[x], self.names[x]] += 1
+        return any(n >= 3 for n in units.values())
+
+    def title(self, out: list[bool], marks: set[int]) -> tuple[int, int]:
+        """The tokens of a heading <h1> right before the marked text, if that has none of its own: no link, nothing between them but what is left out."""
+        begin = next((k for k, m in enumerate(self.marked) if m in marks), 0)
+        heads = [e for e, x in enumerate(self.name) if x == "h1"]
+        if any(self.marked[self.first[e] : self.first[e] + 1] and self.marked[self.first[e]] in marks for e in heads):
+            return 0, 0
+        e = next((e for e in reversed(heads) if self.last[e] <= begin), None)
+        if e is None or self._sum(self.word_sum, e) > self._sum(self.plain_sum, e):
+            return 0, 0
+        first, last = self.first[e], self.last[e]
+        held = any(out[first:last]) or any(n and not gone for n, gone in zip(self.words[last:begin], out[last:begin]))
+        return (0, 0) if held else (first, last)
+
     def left_out(self, weights: dict[str, float]) -> list[bool]:
         """For each token whether it lies in boilerplate."""
-        told = [t or ("other" if any(weights.get("o:" + x) for x in names) else "") for t, names in zip(self.told, self.names)]
+        told = [t or ("learnt" if any(weights.get("o:" + x) for x in names) else "") for t, names in zip(self.told, self.names)]
         # unnested elements that are left out for certain, to tell how many words count
         total, covered = self.plain_sum[-1], 0
         for e, t in enumerate(told):
@@ -261,7 +299,7 @@ class Page:
                 covered = self.last[e]
         all_marked = self.marked_sum[-1]
         out = [False] * len(self.kind)
-        covered = 0
+        covered = bare = 0
         for e, t in enumerate(told):
             if not t or self.first[e] < covered:
                 continue
@@ -271,6 +309,12 @@ class Page:
             elif t == "other":
                 around = 2 * marked > all_marked > 0 and not (self.first[e] < len(self.marked) and self.marked[self.first[e]])
                 keep = around or (2 * own > total and (marked > 0 or all_marked < BESIDE))
+            elif t == "learnt":
+                keep = LEARNT * own > total
+            elif t == "mild":
+                linked = self._sum(self.word_sum, e) > 2 * own
+                keep = not linked and (self.first[e] < bare or not self._collected(e))
+                bare = max(bare, self.last[e]) if keep else bare
             else:
                 keep = False
             if not keep:
@@ -315,6 +359,9 @@ def scores(p: Page, out: list[bool], marks: set[int], weights: dict[str, float])
         if e not in found:
             known = [weights["c:" + x] for x in p.near[e] if "c:" + x in weights]
             found[e] = min(known) if known else None
+            learnt = [x for x in p.near[e] if "o:" + x in weights]
+            if learnt and not any(map(boilerplate_name, learnt)):
+                found[e] = LOW  # too long to be left out
         return found[e]
 
     result = []
@@ -351,6 +398,11 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         return ""
     blocks: dict[int, list[str]] = {}
     first, last = p.block[run[0]], p.block[run[1]]
+    if marks:
+        begin, end = p.title(out, marks)
+        for b, text in zip(p.block[begin:end], p.text[begin:end]):
+            if text:
+                blocks.setdefault(b, []).append(text)
     for b, text, gone, m in zip(p.block, p.text, out, p.marked):
         if first <= b <= last and text and not gone and (not marks or m in marks):
             blocks.setdefault(b, []).append(text)

@@ -98,6 +98,29 @@ def test_weights_change_what_unmarked_pages_give(spark):
     assert html_text.fit(spark.createDataFrame(labelled * 3, "page_id long, html string"), most=5) == weights
 
 
+def test_no_section_goes_for_its_name_alone(spark):
+    part = " ".join(f"said{k}" for k in range(40))
+    for name in ("promotion", "discussion", "related", "responses"):
+        for mark in ("article", "div"):
+            assert html_text.extract(f'<{mark}><p>{BODY}</p><section id="{name}"><h2>On it</h2><p>{part}</p></section></{mark}>', {}) == f"{BODY}\nOn it\n{part}"
+            for unit in (f'<ul>{"<li><a href=x>other story</a></li>" * 3}</ul>', '<div class="c">so said one</div>' * 3, "<p>write</p><form><textarea></textarea></form>"):
+                assert html_text.extract(f'<{mark}><p>{BODY}</p><section class="{name}">{unit}</section></{mark}>', {}) == BODY
+    labelled = [(k, f'<body><div class="digest">{part}</div><article><p>{BODY}</p></article></body>') for k in range(5)]
+    weights = html_text.fit(spark.createDataFrame(labelled, "page_id long, html string"))
+    assert weights["o:digest"] and html_text.extract(f'<div><p>{BODY}</p><div class="digest">{part}</div><p>{BODY}</p></div>', weights) == f"{BODY}\n{part}\n{BODY}"
+    assert html_text.extract(f'<div><div class="digest">{part}</div><p>{BODY}</p></div>', weights) == f"{part}\n{BODY}"
+    began = time.process_time()
+    html_text.extract('<div class="related">a ' * 40_000, {})
+    assert time.process_time() - began < 8
+
+
+def test_a_heading_right_before_the_article_is_kept():
+    assert html_text.extract(f"<body><nav>m</nav><h1>The title</h1><div class='ad'>buy</div><article><p>{BODY}</p></article></body>", {}) == f"The title\n{BODY}"
+    for page in (f"<h1><a href='/'>Site</a></h1><article><p>{BODY}</p></article>", f"<header><h1>Site</h1></header><article><p>{BODY}</p></article>", f"<h1>Site</h1><p>some words</p><article><p>{BODY}</p></article>"):
+        assert html_text.extract(f"<body>{page}</body>", {}) == BODY
+    assert html_text.extract(f"<h1>Site</h1><article><h1>Own</h1><p>{BODY}</p></article>", {}) == f"Own\n{BODY}"
+
+
 def test_malformed_pages_take_linear_time():
     for bad in ("<p ", '<p a="', "<p a='\"", "<!--", "<script>", "</", "<", "<p>", "<li>", "<div>", "<a b='>", "<nav>", "<td><tr>"):
         began = time.process_time()
