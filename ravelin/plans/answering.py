@@ -10,6 +10,7 @@ from ravelin.operators import claims, rag
 from ravelin.operators.tools import TableTool, register_tables
 from ravelin.plans.registry import query, table, tokens_sql
 from ravelin.sources import sinks
+from ravelin.streaming import batches
 
 _CLAIM = f"list_sort(list_distinct({tokens_sql('claim')}))"
 
@@ -72,3 +73,16 @@ def rewritten_records(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").where("text is not null")
     got = rag.rewritten(b, "text", "title string, content string", sinks.scratch(spark), _strict, _plain, keys=("item_id",))
     return got.select("item_id", "parsed.title", "parsed.content", "error", "tries")
+
+
+@query("""select event_type, count(*) as n, round(sum(value), 4) as total, (select count(*) from events) as n_rows, (select count(*) from events where event_type = 'error') as n_errors from events group by event_type""")
+def stream_batches_once(spark, sf_dir):
+    """Events as a stream whose batches are written once, beside the counters that were observed in the writes."""
+    folder = sinks.scratch(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # as a pattern the path may be a file or a folder
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    batches.write(stream, f"{folder}/out", f"{folder}/at", counters={"errors": (F.col("event_type") == "error").cast("int")}).awaitTermination()
+    counted = batches.log(spark, f"{folder}/out").agg(F.sum(F.col("counted")["rows"]).alias("n_rows"), F.sum(F.col("counted")["errors"]).alias("n_errors"))
+    by_type = batches.committed(spark, f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return by_type.crossJoin(F.broadcast(counted))  # one row
