@@ -23,16 +23,14 @@ def claims(pairs: DataFrame, text: str) -> DataFrame:
 def similar(answered: DataFrame, expected: DataFrame, percent: int) -> DataFrame:
     """(id, a, b, n_a, n_b, both, either): claims of one id whose words overlap by ``percent`` of their union or more.
 
-    The rarest words of a claim come first; two claims that overlap so share one of their first ``size - ceil(percent of size) + 1``.
-    Only those words are joined, so a frequent word brings no claims together unless it is all that they have.
+    The longest words of a claim come first, as they tend to be rare; two claims that overlap so share one of their first ``size - ceil(percent of size) + 1``,
+    in whatever order. Only those words are joined, so a frequent short word brings few claims together, and the order needs no counts.
     """
     both = answered.select("id", "words", "n", F.lit("a").alias("side")).union(expected.select("id", "words", "n", F.lit("b").alias("side")))
-    seen = both.select("id", "side", "words", "n", F.explode("words").alias("word"))
-    rare = seen.groupBy("id", "word").agg(F.count("*").alias("held"))
-    ordered = seen.join(rare, ["id", "word"]).groupBy("id", "side", "words", "n").agg(F.array_sort(F.collect_list(F.struct("held", "word"))).alias("by"))
     size = F.size("words")
-    first = F.slice("by", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
-    probes = ordered.select("id", "side", "words", "n", F.explode(F.transform(first, lambda x: x["word"])).alias("word"))
+    longest = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("short"), w.alias("word"))))
+    first = F.slice(longest, F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
+    probes = both.select("id", "side", "words", "n", F.explode(F.transform(first, lambda x: x["word"])).alias("word"))
     a, b = (probes.where(F.col("side") == s).select("id", "word", F.col("words").alias(s), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
     fits = (F.size("a") * percent <= 100 * F.size("b")) & (F.size("b") * percent <= 100 * F.size("a"))
     met = a.join(b, ["id", "word"]).where(fits).select("id", "a", "b", "n_a", "n_b").distinct()
