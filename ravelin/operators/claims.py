@@ -13,28 +13,29 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"[.!?\n]+")
 
 
-def claims(pairs: DataFrame, text: str) -> DataFrame:
-    """(id, words, n): the distinct claims of a text, each the sorted set of its words, and how often it is made. Sentences without words, and null texts, make none."""
-    rows = pairs.select("id", F.explode(sentences(F.col(text))).alias("claim"))
-    rows = rows.select("id", F.array_sort(F.array_distinct(tokens(F.col("claim")))).alias("words")).where(F.size("words") > 0)
-    return rows.groupBy("id", "words").agg(F.count("*").alias("n"))
+def claims(pairs: DataFrame) -> DataFrame:
+    """(id, claim, n_a, n_b): the distinct claims of answers and references, each its distinct words in order, and how often either makes it. Sentences without words, and null texts, make none."""
+    side = lambda text, a, b: pairs.select("id", F.explode(sentences(F.col(text))).alias("claim"), F.lit(a).alias("n_a"), F.lit(b).alias("n_b"))
+    rows = side("answer", 1, 0).union(side("reference", 0, 1))
+    rows = rows.withColumn("claim", F.array_join(F.array_sort(F.array_distinct(tokens(F.col("claim")))), " ")).where("claim <> ''")
+    return rows.groupBy("id", "claim").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
 
 
-def similar(answered: DataFrame, expected: DataFrame, percent: int) -> DataFrame:
-    """(id, a, b, n_a, n_b, both, either): claims of one id whose words overlap by ``percent`` of their union or more.
+def similar(made: DataFrame, percent: int) -> DataFrame:
+    """(id, a, b, n_a, n_b, both, either): claims of one id, one of each side, whose words overlap by ``percent`` of their union or more.
 
     The longest words of a claim come first, as they tend to be rare; two claims that overlap so share one of their first ``size - ceil(percent of size) + 1``,
     in whatever order. Only those words are joined, so a frequent short word brings few claims together, and the order needs no counts.
     """
-    both = answered.select("id", "words", "n", F.lit("a").alias("side")).union(expected.select("id", "words", "n", F.lit("b").alias("side")))
-    size = F.size("words")
-    longest = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("short"), w.alias("word"))))
+    words = lambda c: F.split(c, " ")
+    size = F.size(words("claim"))
+    longest = F.array_sort(F.transform(words("claim"), lambda w: F.struct((-F.length(w)).alias("short"), w.alias("word"))))
     first = F.slice(longest, F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1)
-    probes = both.select("id", "side", "words", "n", F.explode(F.transform(first, lambda x: x["word"])).alias("word"))
-    a, b = (probes.where(F.col("side") == s).select("id", "word", F.col("words").alias(s), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
-    fits = (F.size("a") * percent <= 100 * F.size("b")) & (F.size("b") * percent <= 100 * F.size("a"))
-    met = a.join(b, ["id", "word"]).where(fits).select("id", "a", "b", "n_a", "n_b").distinct()
-    met = met.withColumn("both", F.size(F.array_intersect("a", "b"))).withColumn("either", F.size("a") + F.size("b") - F.col("both"))
+    probes = lambda s: made.where(F.col(f"n_{s}") > 0).select("id", F.col("claim").alias(s), f"n_{s}", F.explode(F.transform(first, lambda x: x["word"])).alias("word"))
+    fits = (F.size(words("a")) * percent <= 100 * F.size(words("b"))) & (F.size(words("b")) * percent <= 100 * F.size(words("a")))
+    met = probes("a").join(probes("b"), ["id", "word"]).where(fits).select("id", "a", "b", "n_a", "n_b").distinct()
+    met = met.withColumn("both", F.size(F.array_intersect(words("a"), words("b"))))
+    met = met.withColumn("either", F.size(words("a")) + F.size(words("b")) - F.col("both"))
     return met.where(F.col("both") * 100 >= F.col("either") * percent)
 
 
@@ -74,9 +75,12 @@ def correctness(pairs: DataFrame, folder: str, percent: int = 50) -> DataFrame:
     Two claims are one where their words overlap by ``percent`` of their union, which stands in for a judge. Ids are distinct and not null.
     A pair without claims on either side has f1 0.
     """
-    answered, expected = claims(pairs, "answer"), claims(pairs, "reference")
-    tp = matched(similar(answered, expected, percent), folder)
-    total = lambda c, to: c.groupBy("id").agg(F.sum("n").alias(to))
-    rows = pairs.select("id").join(total(answered, "made"), "id", "left").join(total(expected, "wanted"), "id", "left").join(tp, "id", "left").fillna(0)
+    # equal claims are the most alike, so they are taken first, by counting; only what is left over is compared
+    claims(pairs).write.parquet(f"{folder}/claims")
+    made, same = pairs.sparkSession.read.parquet(f"{folder}/claims"), F.least("n_a", "n_b")
+    rest = made.select("id", "claim", (F.col("n_a") - same).alias("n_a"), (F.col("n_b") - same).alias("n_b")).where("n_a <> n_b")
+    total = made.groupBy("id").agg(F.sum("n_a").alias("made"), F.sum("n_b").alias("wanted"), F.sum(same).alias("same"))
+    rows = pairs.select("id").join(total, "id", "left").join(matched(similar(rest, percent), folder), "id", "left").fillna(0)
+    rows = rows.withColumn("tp", F.col("tp") + F.col("same"))
     rows = rows.select("id", "tp", (F.col("made") - F.col("tp")).alias("fp"), (F.col("wanted") - F.col("tp")).alias("fn"))
     return rows.withColumn("f1", F.round(f1(F.col("tp"), F.col("fp"), F.col("fn")), 6))
