@@ -112,11 +112,15 @@ class ShardStore:
                 out.setdefault(int(math.log(self.target / max(s["bytes"], 1), self.fanout)), []).append(s)
         return out
 
+    def due(self, manifest: dict | None = None) -> list[list[dict]]:
+        """The runs of small shards that a manifest, the newest by default, leaves to merge."""
+        return [x for x in self.tiers(manifest).values() if len(x) >= self.fanout or (len(x) > 1 and sum(s["bytes"] for s in x) >= self.target)]
+
     def compact(self) -> dict:
         """Merge the runs of every full tier until none is; commits a version for each round that merged any."""
         while True:
             last = self.manifest()
-            runs = [x for x in self.tiers(last).values() if len(x) >= self.fanout or (len(x) > 1 and sum(s["bytes"] for s in x) >= self.target)]
+            runs = self.due(last)
             if not runs:
                 return last
             gone, made = {s["file"] for run in runs for s in run}, [m for run in runs for m in self._merged(run, last)]

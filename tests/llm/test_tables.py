@@ -273,6 +273,19 @@ def test_shards_of_many_arrivals(spark, tmp_path):
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() and got.where("not compacted").count() == 0
 
 
+def test_op8_says_the_same_of_tables_of_any_size(spark, tmp_path, monkeypatch):
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'s' as source", "7L as n_chars")
+    seen, real = [], ShardStore.append_each
+    monkeypatch.setattr(ShardStore, "append_each", lambda self, df, arrival: (seen.append({r.doc_id: r.a for r in df.select("doc_id", arrival.alias("a")).collect()}), real(self, df, arrival))[1])
+    # one row, one file, more files than arrivals, and a target that every shard fills
+    for k, (rows, files, target) in enumerate([(1, 1, shards.TARGET), (40, 1, shards.TARGET), (40, 12, shards.TARGET), (40, 12, 1)]):
+        docs.where(F.col("doc_id") < rows).repartition(files).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        monkeypatch.setattr(ShardStore.__init__, "__defaults__", (target, shards.FANOUT))
+        got = queries.op8_shards(spark, f"{tmp_path}/{k}").collect()
+        assert sorted(r.doc_id for r in got) == list(range(rows)) and all(r.compacted for r in got)
+    assert seen[1] == seen[2] == seen[3] == seen[1] | seen[0] and set(seen[1].values()) == set(range(queries.ARRIVALS))
+
+
 def test_a_merge_that_wins_nothing_ends(spark, tmp_path, monkeypatch):
     store = ShardStore(spark, f"file://{tmp_path}/s", fanout=3)
     store.append(spark.range(100).repartition(5))
