@@ -30,3 +30,18 @@ def test_claims_are_matched_as_one_by_one(spark, tmp_path):
 
 def test_no_pairs(spark, tmp_path):
     assert claims.correctness(spark.createDataFrame([], "id long, answer string, reference string"), f"{tmp_path}/m").collect() == []
+
+
+def test_claims_are_compared_where_their_row_is(spark):
+    rows = spark.createDataFrame([(1, ["a b", "a b", "c d e", "f"], ["a b", "c d", "c d", "g"])], "id long, a array<string>, b array<string>")
+    df = claims.compared(rows, 50)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    # what is left of a is a b, c d e and f, of b c d (twice) and g
+    got = df.first()
+    assert (got.made, got.wanted, got.same) == (4, 4, 1) and [tuple(x) for x in got.links] == [(1, 0, 1, 2, 2 / 3)]
+
+
+def test_rows_of_one_id_are_one_pair(spark, tmp_path):
+    rows = [(1, "a b. c d", "a b"), (1, "e f", "c d. g h"), (2, "a", "b"), (None, "a b", "a b")]
+    got = claims.correctness(spark.createDataFrame(rows, "id long, answer string, reference string"), f"{tmp_path}/m").collect()
+    assert sorted((tuple(x)[:4] for x in got), key=repr) == sorted([(1, 2, 1, 1), (1, 2, 1, 1), (2, 0, 1, 1), (None, 0, 0, 0)], key=repr)
