@@ -133,3 +133,13 @@ def test_scores_of_mixtures_are_left_out(spark):
     rows = [("base", 2.0, 0.5, 0.5), ("mix", 100.0, 0.5, 0.5)]
     got = {r.model: r for r in evaluation.leaderboard(spark.createDataFrame(rows, "model string, params double, faithfulness double, factual double"), "base", ("mix",)).collect()}
     assert got["mix"].faith_per_b is None and got["base"].faith_per_b == 0.25 and got["mix"].combined == 0.5
+
+
+def test_a_board_ranks_only_the_ends_of_the_day(spark):
+    from ravelin.operators import transit
+
+    times = [("050000", "11"), ("050000", "12"), ("120000", "11"), ("120000", "11"), ("031500", "13"), ("023000", "17"), ("023000", "15"), ("080000", "13"), (None, "19"), ("120500", "22"), ("060000", "24")]
+    df = transit.board(spark.createDataFrame(times, "arrival string, train string").repartition(3), 12 * 3600)
+    got = sorted((x.direction, x.arrival, x.train) for x in df.collect())
+    assert got == sorted([("up", "050000", "11"), ("up", "120000", "11"), ("up", "031500", "13"), ("up", "023000", "17"), ("down", "120500", "22"), ("down", "060000", "24")])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2  # trains of whole days are never ranked
