@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of texts after which a task's Python hands on their chunks.
+CHARS = 1 << 20
+
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -57,14 +60,22 @@ def recursive_chunks(docs: DataFrame, size: int = 512, overlap: int = 128, separ
     length = len if unit == "chars" else lambda s: len(s.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type), pa.array(no, pa.int32()), pa.array(text, pa.string()), pa.array(map(len, text), pa.int32())], names=[id_col, "chunk_no", "text", "n_chars"])
+
         for batch in batches:
-            ids, no, text = [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, no, text, held = [], [], [], 0
+            for d, t in zip(batch.column(0), batch.column(1)):
+                t = t.as_py()
                 chunks = recursive_split(t, size, overlap, separators, length) if t else []
-                ids += [d] * len(chunks)
+                ids += [d.as_py()] * len(chunks)
                 no += range(len(chunks))
                 text += chunks
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type), pa.array(no, pa.int32()), pa.array(text, pa.string()), pa.array(map(len, text), pa.int32())], names=[id_col, "chunk_no", "text", "n_chars"])
+                held += len(t or "")
+                if held >= CHARS:
+                    yield made()
+                    ids, no, text, held = [], [], [], 0
+            yield made()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, chunk_no int, text string, n_chars int")
