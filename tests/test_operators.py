@@ -143,3 +143,15 @@ def test_a_board_ranks_only_the_ends_of_the_day(spark):
     got = sorted((x.direction, x.arrival, x.train) for x in df.collect())
     assert got == sorted([("up", "050000", "11"), ("up", "120000", "11"), ("up", "031500", "13"), ("up", "023000", "17"), ("down", "120500", "22"), ("down", "060000", "24")])
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftSemi") == 2  # trains of whole days are never ranked
+
+
+def test_chunks_and_scores_leave_a_task_piece_by_piece(spark, monkeypatch):
+    from ravelin.operators import chunking, evaluation
+
+    docs = spark.createDataFrame([(k, None if k == 3 else f"some words of text {k}. " * 40) for k in range(30)], "doc_id long, text string").coalesce(1)
+    pairs = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("candidate"), F.reverse("text").alias("reference"))
+    run = lambda: (sorted(map(tuple, chunking.recursive_chunks(docs).collect())), sorted(map(tuple, evaluation.text_scores(pairs).collect())))
+    want = run()
+    monkeypatch.setattr(chunking, "CHARS", 2000)
+    monkeypatch.setattr(evaluation, "ROWS", 7)
+    assert run() == want and len(want[0]) > 29 and len(want[1]) == 30
