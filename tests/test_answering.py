@@ -119,3 +119,12 @@ def test_records_that_dont_parse_are_empty(spark):
     said = ['{"title": "a", "content": "b"}', '{"title": "a"}', "none", None, "[]", '{"title": "a", "content": "b", "more": 1}']
     got = rag.structured(spark.createDataFrame([(x,) for x in said], "a string"), "a", "title string, content string", {"title": "", "content": ""}).select("parsed.*").collect()
     assert list(map(tuple, got)) == [("a", "b"), ("", ""), ("", ""), ("", ""), ("", ""), ("a", "b")]
+
+
+def test_legs_are_read_from_the_events(spark, tmp_path):
+    from ravelin.plans import registry
+
+    rows = [(0, 1, "click"), (1, 1, "error"), (2, 1, "view"), (3, 2, "error")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, registry.queries()["leg_suffix"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 0, "SUBWAY", "하단역", "남포역"), (1, 1, "WALK", "남포역", "서면역"), (1, 2, "SUBWAY", "서면역", "home역"), (2, 3, "WALK", "home", "남포")]
