@@ -31,7 +31,9 @@ SCALE, MOST = 256, 1 << 26
 #: Rows and anchors of one cell.
 ROWS_A_CELL, ANCHORS_A_CELL = 32_768, 32_768
 #: Pairs whose bounds are in memory at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+#: Pairs whose components are gathered at a time.
+GATHERED = 1 << 14
 
 
 def quantised(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -85,6 +87,15 @@ class Rotated:
         return len(self.q)
 
 
+def _products(a: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows i of ``a`` and j of ``x``; where copies are many nearly all pairs of a block come here, so their components are gathered bit by bit."""
+    out = np.empty(len(i), a.dtype)
+    for k in range(0, len(i), GATHERED):
+        at = slice(k, k + GATHERED)
+        out[at] = np.einsum("ij,ij->i", a[i[at]], x[j[at]])
+    return out
+
+
 def survivors(a: Rotated, x: Rotated, steps: list[int], most: Callable, least: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (anchor, row) that no bound discards, and their integer products. most(bound, i, j) and least(bound, i, j) tell which pairs an upper and a lower bound leave; i and j are None for all pairs at once.
 
@@ -96,11 +107,11 @@ def survivors(a: Rotated, x: Rotated, steps: list[int], most: Callable, least: C
     i, j = np.nonzero(most(part + rest, None, None) & least(part - rest, None, None))
     part = part[i, j]
     for n, (begin, end) in enumerate(zip(steps, steps[1:]), 1):
-        part = part + np.einsum("ij,ij->i", a.y[i, begin:end], x.y[j, begin:end])
+        part = part + _products(a.y[:, begin:end], x.y[:, begin:end], i, j)
         rest = a.rest[n][i] * x.rest[n][j] + slack[i, j]
         keep = np.flatnonzero(most(part + rest, i, j) & least(part - rest, i, j))
         i, j, part = i[keep], j[keep], part[keep]
-    return i, j, np.einsum("ij,ij->i", a.q[i], x.q[j])
+    return i, j, _products(a.q, x.q, i, j)
 
 
 def _best(group: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> np.ndarray:

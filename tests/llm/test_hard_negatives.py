@@ -81,3 +81,17 @@ def test_huge_components_and_empty(spark):
     df = spark.createDataFrame([(5, [1e30, 1.0], 1, 1, "u"), (10, [2.0], 1, 1, "u"), (15, [1.0, 1.0], 1, 1, "u"), (20, [0.9, 0.5], 2, 1, "u"), (25, [], 2, 1, "u")], SCHEMA)
     assert sorted(map(tuple, hard_negatives.mine(df, every=5).collect())) == [(10, 15, 1, 20, 131072, 117760), (15, 10, 1, 20, 131072, 91648), (25, 20, 1, 10, 0, 0), (25, 20, 2, 15, 0, 0)]
     assert hard_negatives.mine(df.limit(0)).count() == 0
+
+
+def test_pairs_that_all_survive_take_bounded_memory():
+    import tracemalloc
+
+    q = np.ones((512, 64), np.int64)
+    a = hard_negatives.Rotated(q, np.eye(64), [16, 32])
+    everything = lambda u, i, j: np.ones(u.shape, bool)
+    x = hard_negatives._slice(a, np.arange(hard_negatives.PAIRS // 512))
+    tracemalloc.start()
+    i, _, s = hard_negatives.survivors(a, x, [16, 32], everything, everything)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == hard_negatives.PAIRS and (s == 64).all() and peak < 64 << 20
