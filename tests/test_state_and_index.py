@@ -55,6 +55,49 @@ def test_index_reads_fewer_postings_and_finds_the_same(spark, tmp_path):
     assert read < 0.1 * held
 
 
+def shuffled(spark):
+    """Records that all stages so far have written to the shuffle."""
+    store, jvm, gateway = spark.sparkContext._jsc.sc().statusStore(), spark._jvm, spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_index_shuffles_texts_once_and_no_pairs_of_queries_and_documents(spark, tmp_path):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    n, asks = 1500, 40
+    df = spark.createDataFrame([(i, " ".join(r.sample(words, 25))) for i in range(n)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    queries = spark.createDataFrame([(q, " ".join(r.sample(words, 8))) for q in range(asks)], "query_id long, text string")
+    before = shuffled(spark)
+    postings.build(df, f"{tmp_path}/index")
+    built = sum(v for k, v in shuffled(spark).items() if k not in before)
+    # texts, and terms once a task; no posting (37,500)
+    assert n <= built < 3 * n
+    index, before = postings.Index(spark, f"{tmp_path}/index"), shuffled(spark)
+    got = index.search(queries, 3, f"{tmp_path}/s").collect()
+    # blocks and ranges, each twice at most; pairs of a query and a document that holds its words are nearly 60,000
+    assert sum(v for k, v in shuffled(spark).items() if k not in before) < 0.2 * n * asks
+    for q, text in queries.where("query_id % 20 = 0").collect():
+        want = retrieval.top(retrieval.bm25(df, text.split()), 3).collect()
+        assert sorted((x.rank, x.doc_id, x.score) for x in got if x.query_id == q) == [(i + 1, x.doc_id, x.score) for i, x in enumerate(want)]
+
+
+@pytest.mark.parametrize("sent", [postings.SENT, 0])
+def test_index_takes_null_and_repeated_ids(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(postings, "SENT", sent)
+    docs = [(i, f"a w{i % 7} w{i % 5}") for i in range(300)] + [(None, "a rare"), (None, "a rare"), (None, "rare rare w1"), (-3, "rare"), (5, "a rare w5"), (5, "rare")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    postings.build(df, f"{tmp_path}/index", width=16)
+    asked = [("x", "a rare"), ("x", "rare w1"), ("y", "w3 w4"), ("z", "none")]
+    got = postings.Index(spark, f"{tmp_path}/index").search(spark.createDataFrame(asked, "query_id string, text string"), 6, f"{tmp_path}/s", first=1).collect()
+    for q, words in {"x": ["a", "rare", "w1"], "y": ["w3", "w4"], "z": ["none"]}.items():
+        all_ = retrieval.bm25(df, words).collect()
+        want = sorted((-x.score, x.doc_id is None, x.doc_id or 0, x.doc_id) for x in all_)[:6]
+        assert sorted((x.rank, x.doc_id, x.score) for x in got if x.query_id == q) == [(i + 1, x[-1], -x[0]) for i, x in enumerate(want)], q
+
+
 def test_a_service_opens_the_answers_that_are_asked_for(spark, tmp_path):
     rows = [(s, f"{h:02}00", h % 2 == 0) for s in ("a", "b/c", "d") for h in range(5)]
     services.store(spark.createDataFrame(rows, "station string, time string, up boolean"), f"file://{tmp_path}/t", "station")
