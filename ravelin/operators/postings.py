@@ -44,8 +44,8 @@ def build(docs: DataFrame, path: str, width: int = RANGE, k1: float = K1, b: flo
     # rows without id share the first range
     texts = docs.select(F.coalesce(F.floor(doc_id / width), F.lit(0)).alias("range"), doc_id.alias("doc_id"), "text").repartition(_shares(docs, words / WORDS), "range")
     toks = texts.select("range", "doc_id", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    # both groupings hold the range and stay in its task
-    tf = toks.select("range", "doc_id", "len", F.explode("t").alias("term")).groupBy("range", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    # explode() would split texts before the shuffle as well, to leave those without words out; both groupings hold the range and stay in its task
+    tf = toks.select("range", "doc_id", "len", F.explode_outer("t").alias("term")).where(F.col("term").isNotNull()).groupBy("range", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
     impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len or 1.0)))
     one = tf.select("term", "range", F.struct("doc_id", impact.alias("impact")).alias("p"))
     blocks = one.groupBy("term", "range").agg(F.max("p.impact").alias("top"), F.sort_array(F.collect_list("p")).alias("postings"))
